@@ -256,7 +256,9 @@ def parse(raw: bytes) -> Vocabulary:
     return Vocabulary(tokens, ranks)
 
 
-parsed = functools.lru_cache(maxsize=2)(parse)
+@functools.lru_cache(maxsize=2)
+def parsed(raw: bytes) -> Vocabulary:
+    return parse(raw)
 
 
 def vocabulary_file(spark: SparkSession, path: str) -> Broadcast:
