@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe
+from tributary.llm import bpe, licenses, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality.op1,
+    "op3_license_scans": licenses.op3,
+    "op6_secret_scans": secrets.op6,
     "op10_bpe": bpe.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.ORACLE}
