@@ -12,10 +12,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import sys
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +36,8 @@ DIGITS = {
     **dict.fromkeys(("nine", "neun", "nueve", "neuf"), "9"), "oh": "0",
 }
 _WORDS = "|".join(sorted(DIGITS, key=len, reverse=True))
-_SPELLED = re.compile(rf"\b(?:{_WORDS})(?:[\s,.-]{{1,3}}(?:{_WORDS}|\d)\b)+", re.I)
+_SPELLED = re.compile(rf"\b(?:{_WORDS})(?:[ \t\r\n,.-]{{1,3}}(?:{_WORDS}|\d)\b)+", re.I)
+_FOLLOWS = re.compile(rf"[ ]{{0,2}}(?:{_WORDS}|\d)\b")
 _ONE = re.compile(rf"{_WORDS}|\d", re.I)
 _AT, _DOT = r"(?:at|ät|arroba|arobase|klammeraffe)", r"(?:dot|punkt|point|punto)"
 _OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
@@ -43,7 +47,6 @@ _SIGNS = re.compile(
     rf"|(?P<dot>\s{{0,3}}{_OPEN}\s{{0,3}}(?:{_DOT}|\.)\s{{0,3}}{_CLOSE}\s{{0,3}}|(?<=\w)(?:\s{{1,3}}|[-_]){_DOT}(?:\s{{1,3}}|[-_])(?=\w))",
     re.I,
 )
-_TRIGGER = re.compile(rf"{_OPEN}\s{{0,3}}(?:{_AT}|{_DOT}|[.@])\s{{0,3}}{_CLOSE}|[\s_-]{_DOT}[\s_-]|\s@\s", re.I)
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w@])")
@@ -56,8 +59,8 @@ SPOKEN = re.compile(r"(?<!\w)\+?\d{7,15}(?!\w)", re.A)
 
 
 @functools.lru_cache(maxsize=1)
-def folding() -> tuple[dict[int, str], re.Pattern]:
-    """What the first transducer writes for each character it changes, and a pattern of those."""
+def folding() -> dict[int, str]:
+    """What the first transducer writes for each character it changes."""
     table = {ord(c): to for c, to in _LOOKALIKES.items()} | {ord(c): "" for c in _INVISIBLE} | {ord(c): "-" for c in _DASHES}
     for cp in range(0x80, 0x20000):
         if cp in table:
@@ -69,7 +72,7 @@ def folding() -> tuple[dict[int, str], re.Pattern]:
             table[cp] = str(digit)
         elif len(flat := unicodedata.normalize("NFKC", c)) == 1 and 0x20 < ord(flat) < 0x7F and cp not in (0xAA, 0xBA, 0xB2, 0xB3, 0xB9):
             table[cp] = flat
-    return table, re.compile("[" + "".join(map(re.escape, map(chr, sorted(table)))) + "]+")
+    return table
 
 
 class Rewriting:
@@ -104,24 +107,56 @@ class Rewriting:
         return a, b
 
 
+@functools.lru_cache(maxsize=1)
+def folded_points() -> np.ndarray:
+    out = np.zeros(sys.maxunicode + 1, bool)
+    out[list(folding())] = True
+    return out
+
+
+@functools.lru_cache(maxsize=1)
+def triggers() -> ahocorasick.Automaton:
+    """Finds where a spelled digit or a dot sign's name may end."""
+    out = ahocorasick.Automaton()
+    for word in DIGITS:
+        out.add_word(word + " ", (len(word), True))
+    for word in ("dot", "punkt", "point", "punto"):
+        for end in " _":
+            out.add_word(word + end, (len(word), False))
+    out.make_automaton()
+    return out
+
+
 def fold(text: str) -> tuple[str, Rewriting | None]:
     if text.isascii():
         return text, None
-    table, pattern = folding()
-    out = None
-    for m in pattern.finditer(text):
-        out = out or Rewriting(text)
-        for i in range(m.start(), m.end()):
-            out.replace(i, i + 1, table[ord(text[i])])
-    return (out.close(), out) if out else (text, None)
+    places = np.flatnonzero(folded_points()[np.frombuffer(text.encode("utf-32-le"), np.uint32)])
+    if not len(places):
+        return text, None
+    table, out = folding(), Rewriting(text)
+    for i in places.tolist():
+        out.replace(i, i + 1, table[ord(text[i])])
+    return out.close(), out
 
 
 def spell(text: str) -> tuple[str, Rewriting | None, list[tuple[int, int]]]:
     """The second transducer; also the output spans of digits that were spelled."""
+    low = text.lower()
+    for c in ",.-\n\t\r":
+        low = low.replace(c, " ")
+    digits, signs = False, any(c in text for c in "([{<") or " @" in low or "@ " in low
+    for end, (size, digit) in triggers().iter(low):
+        if end > size and low[end - size - 1].isalnum():
+            continue
+        if not digit:
+            signs = True
+        elif not digits and _FOLLOWS.match(low, end + 1):
+            digits = True
     edits = []
-    for m in _SPELLED.finditer(text):
-        edits.append((m.start(), m.end(), "".join(DIGITS.get(x.lower(), x) for x in _ONE.findall(m.group())), True))
-    if _TRIGGER.search(text):
+    if digits:
+        for m in _SPELLED.finditer(text):
+            edits.append((m.start(), m.end(), "".join(DIGITS.get(x.lower(), x) for x in _ONE.findall(m.group())), True))
+    if signs:
         for m in _SIGNS.finditer(text):
             edits.append((m.start(), m.end(), "@" if m.group("at") else ".", False))
     if not edits:
@@ -155,7 +190,7 @@ def detect(text: str, spelled: list[tuple[int, int]]) -> list[tuple[str, int, in
         found += [("email", *m.span()) for m in EMAIL.finditer(text)]
     if _DIGIT.search(text):
         found += [("ip", *m.span()) for m in IPV4.finditer(text)]
-        found += [("card", *m.span()) for m in CARD.finditer(text) if card(re.sub("[ -]", "", m.group()))]
+        found += [("card", *m.span()) for m in CARD.finditer(text) if luhn(re.sub("[ -]", "", m.group()))]
         found += [("ssn", *m.span()) for m in SSN.finditer(text)]
         found += [("iban", *m.span()) for m in IBAN.finditer(text) if iban(m.group())]
         found += [("phone", *m.span()) for m in PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m.group()) <= 15]
@@ -172,11 +207,6 @@ def detect(text: str, spelled: list[tuple[int, int]]) -> list[tuple[str, int, in
 _DIGIT = re.compile(r"\d[^A-Za-z]{0,4}\d[^A-Za-z]{0,4}\d", re.A)
 
 
-def card(digits: str) -> bool:
-    """A payment card: Luhn's sum, or sixteen digits that begin as the large networks' do not count without it."""
-    return luhn(digits)
-
-
 def find(text: str) -> list[tuple[str, int, int, bool, str]]:
     """(kind, start, end in the source, disguised, SHA-256 of the normalised identifier), sorted."""
     folded, first = fold(text)
