@@ -125,10 +125,10 @@ def mix(
     ranges = cuts.withColumn("to", F.lead("h").over(Window.partitionBy("source").orderBy("rank", F.col("shard").asc_nulls_last()))).filter("shard is not null and (to is null or to > h)")
     top = F.coalesce(F.col("to") - 1, F.lit(2**63 - 1))
     ranges = ranges.withColumn("cell", F.explode(F.sequence(F.shiftright("h", 56), F.shiftright(top, 56))))
-    # Few rows; Spark broadcasts them if their measured size allows, and else joins by source and cell.
+    # Written, so that their size is known: Spark broadcasts them if it allows, and else joins by source and cell.
     ranges = ranges.select(F.col("source").alias(source), F.col("cell").alias(cell), F.col("h").alias("range_from"), F.col("to").alias("range_to"), F.col("shard").cast("int").alias("range_shard"))
     low, high, target = fresh(keyed, "range_from", "range_to", "range_shard")
-    ranges = ranges.toDF(source, cell, low, high, target)
+    ranges = cut(spark, ranges.toDF(source, cell, low, high, target), "mixing-ranges")
     out = keyed.withColumn(cell, F.shiftright(h, 56)).join(ranges, [source, cell])
     out = out.filter((F.col(h) >= F.col(low)) & (F.col(high).isNull() | (F.col(h) < F.col(high))))
     order = Window.partitionBy(target).orderBy(F.xxhash64(F.lit(seed + 1), F.col(h)), h)

@@ -136,7 +136,8 @@ def keep(df: DataFrame, limits: Limits = LIMITS, text_column: str = "text", host
     own, host, failures = judged(df, limits, text_column, host_column)
     verdicts = hosts(own.select(F.col(host).alias("host"), F.col(failures)["strict"].alias("strict")), limits).filter("bad")
     (bad,) = fresh(own, "own_bad")
-    verdicts = verdicts.select(F.col("host").alias(host), F.col("bad").alias(bad))
+    # Written, so that its size is known: only then is it broadcast, if that allows, without moving texts first.
+    verdicts = cut(df.sparkSession, verdicts.select(F.col("host").alias(host), F.col("bad").alias(bad)), "hosts")
     own = own.filter(F.col(failures)["strict"] == 0).join(verdicts, host, "left")
     return own.filter(_stays(F.col(failures)["strict"], F.col(failures)["lenient"], F.coalesce(bad, F.lit(False)))).select(*(F.col(_quoted(c)) for c in df.columns))
 
@@ -149,7 +150,7 @@ def report(df: DataFrame, limits: Limits = LIMITS, id_column: str = "doc_id", te
     """
     own, host, failures = judged(df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(host_column).alias("source")), limits, "text", "source")
     own = cut(df.sparkSession, own.select("doc_id", F.col(host).alias("host"), f"{failures}.*"), "quality")
-    out = own.join(hosts(own, limits), "host").filter(_stays(F.col("strict"), F.col("lenient"), F.col("bad")))
+    out = own.join(cut(df.sparkSession, hosts(own, limits), "hosts"), "host").filter(_stays(F.col("strict"), F.col("lenient"), F.col("bad")))
     return out.select("doc_id", "host", "n_words", F.col("lenient").alias("lenient_failures"), F.col("docs").alias("host_docs"), F.col("failed").alias("host_failed"), F.round("rate", 6).alias("host_rate"), F.col("bad").alias("host_bad"))
 
 
