@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe, licenses, mixing, pii, quality, secrets
+from tributary.llm import bpe, licenses, mixing, near, pii, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
     "op3_license_scans": licenses.op3,
+    "op4_near_duplicates": near.op4,
     "op6_secret_scans": secrets.op6,
     "op7_pii": pii.op7,
     "op9_mixing": mixing.op9,
