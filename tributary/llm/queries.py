@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe, licenses, mixing, near, pii, quality, secrets
+from tributary.llm import bpe, licenses, mixing, near, neighbours, pii, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": near.op4,
     "op6_secret_scans": secrets.op6,
     "op7_pii": pii.op7,
+    "op8_neighbours": neighbours.op8,
     "op9_mixing": mixing.op9,
     "op10_bpe": bpe.op10,
 }
