@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe, licenses, mixing, near, neighbours, pii, quality, secrets
+from tributary.llm import bpe, licenses, mixing, near, neighbours, pii, quality, secrets, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
     "op3_license_scans": licenses.op3,
     "op4_near_duplicates": near.op4,
+    "op5_token_counts": tokencounts.op5,
     "op6_secret_scans": secrets.op6,
     "op7_pii": pii.op7,
     "op8_neighbours": neighbours.op8,
