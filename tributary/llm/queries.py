@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe, licenses, mixing, near, neighbours, pii, quality, secrets, tokencounts
+from tributary.llm import bpe, html, licenses, mixing, near, neighbours, pii, quality, secrets, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
+    "op2_html_extraction": html.op2,
     "op3_license_scans": licenses.op3,
     "op4_near_duplicates": near.op4,
     "op5_token_counts": tokencounts.op5,
