@@ -90,7 +90,8 @@ def judged(df: DataFrame, limits: Limits, text_column: str, host_column: str) ->
             F.regexp_count(F.col(text), F.lit("!")).alias("n_shouts"),
             F.regexp_count(F.col(text), F.lit(CAPITAL)).alias("n_capitals"),
             F.regexp_count(F.col(text), F.lit(INSULT)).alias("n_insults"),
-            F.expr(f"size(filter({w}, (x, i) -> x <=> get({w}, i - 1)))").alias("n_repeated"),
+            # One pass that holds no second reference to the words, which would be split again for each.
+            F.expr(f"aggregate({w}, named_struct('last', cast(null AS string), 'n', 0), (a, x) -> named_struct('last', x, 'n', a.n + if(x <=> a.last, 1, 0)), a -> a.n)").alias("n_repeated"),
             F.size(lines).alias("n_lines"),
             F.size(F.array_distinct(lines)).alias("n_distinct_lines"),
         ),
@@ -123,7 +124,8 @@ def hosts(host_and_strict: DataFrame, limits: Limits = LIMITS) -> DataFrame:
 
 
 def _stays(strict: Column, lenient: Column, bad: Column) -> Column:
-    return (strict == 0) & ((lenient == 0) | ~bad)
+    """One condition, so that no part of it is pushed below the join and worked out twice there."""
+    return F.when(strict == 0, (lenient == 0) | ~bad).otherwise(False)
 
 
 def keep(df: DataFrame, limits: Limits = LIMITS, text_column: str = "text", host_column: str = "source") -> DataFrame:
@@ -138,7 +140,7 @@ def keep(df: DataFrame, limits: Limits = LIMITS, text_column: str = "text", host
     (bad,) = fresh(own, "own_bad")
     # Written, so that its size is known: only then is it broadcast, if that allows, without moving texts first.
     verdicts = cut(df.sparkSession, verdicts.select(F.col("host").alias(host), F.col("bad").alias(bad)), "hosts")
-    own = own.filter(F.col(failures)["strict"] == 0).join(verdicts, host, "left")
+    own = own.join(verdicts, host, "left")
     return own.filter(_stays(F.col(failures)["strict"], F.col(failures)["lenient"], F.coalesce(bad, F.lit(False)))).select(*(F.col(_quoted(c)) for c in df.columns))
 
 
