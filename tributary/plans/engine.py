@@ -192,7 +192,7 @@ class FederationEngine:
         if order_by:
             by = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
             df = ordered(df, *[b[1:] if isinstance(b, str) and b.startswith("-") else b for b in by], ascending=[not (isinstance(b, str) and b.startswith("-")) for b in by])
-        elif limit is not None or offset:
+        elif limit is not None or offset:  # an order that a limit can rely on
             df = in_source_order(df)
         if offset:
             df = df.offset(offset)
@@ -212,14 +212,17 @@ class FederationEngine:
             live = live.filter(F.col(SOURCE) == source)
         asked = self._plan(live, where, order_by, limit, offset)
         bounded = where is not None or limit is not None or source is not None or len(own.registry.sources(own.table) if own.registry else ()) <= 1
-        if bounded and (kept := own.cache.get(asked)) is not None:
+        terms = [order_by] if isinstance(order_by, str) else list(order_by or ())
+        spelled = (where is None or isinstance(where, str)) and all(isinstance(t, str) for t in terms)
+        question = (own.registry.sources(own.table) if own.registry else (), where, source, tuple(terms), limit, offset) if spelled else None
+        if bounded and (kept := own.cache.get(asked, question)) is not None:
             return self.spark.createDataFrame(kept, asked.schema) if kept.num_rows else self.spark.createDataFrame([], asked.schema)
         best = asked
         if own.copy and own.copy.fresh:
             best = self._plan(own.copy.open(source), where, order_by, limit, offset).select(asked.columns)
         if bounded:
             probe = best.limit(own.cache.max_rows + 1).toArrow()  # what the budget can take, and one row more
-            if own.cache.put(asked, probe):
+            if own.cache.put(asked, probe, question):
                 return self.spark.createDataFrame(probe, asked.schema) if probe.num_rows else self.spark.createDataFrame([], asked.schema)
         return best
 
