@@ -45,17 +45,3 @@ def duck(sf):
     for path in glob.glob(f"{sf}/*.parquet"):
         db.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     return db
-
-
-def same(ours, theirs) -> None:
-    """Equal columns and rows, in any order; numbers to six places."""
-
-    def plain(v):
-        if v is None or v != v or str(v) == "NaT":
-            return "null"
-        return repr(round(v, 6)) if isinstance(v, float) else str(v)
-
-    assert sorted(ours.columns) == sorted(theirs.columns)
-    columns = sorted(ours.columns)
-    rows = lambda t: sorted(tuple(map(plain, r)) for r in t[columns].itertuples(index=False))
-    assert rows(ours) == rows(theirs)

@@ -1,7 +1,7 @@
 """Every federation query against DuckDB, and the shape of the plans."""
 
 import pytest
-from conftest import same
+from support import same
 
 from tributary.plans import queries as q
 
