@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tributary.llm.common import load
 from tributary.llm.quality import _quoted
 
-#: At most so many pages train the labeller, so many times over.
-TRAINING_PAGES, EPOCHS, SEED = 400, 4, 7
+#: At most so many pages train the labeller, so many times over; fewer pages, more often.
+TRAINING_PAGES, EPOCHS, LEAST_STEPS, SEED = 400, 4, 120, 7
 PATH, WORDS, MEASURES, HIDDEN = 32, 48, 6, 24
 INPUT = PATH + WORDS + MEASURES
 #: Pages that are labelled side by side.
@@ -262,7 +262,7 @@ def train(pages: list[list[Block]], epochs: int = EPOCHS, seed: int = SEED) -> W
     # Blocks count so that content and the rest weigh alike.
     share = known.mean()
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS // -(-len(seen) // 16)))):
         order = sorted(rng.permutation(len(seen)).tolist(), key=lambda j: len(seen[j][2]) // 8)
         groups = [order[a : a + 16] for a in range(0, len(order), 16)]
         for g in rng.permutation(len(groups)).tolist():

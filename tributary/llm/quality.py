@@ -30,6 +30,8 @@ class Limits:
 
     symbols_a_word: float = 0.1
     shouts_a_word: float = 0.1
+    #: So many symbols or exclamation marks are too few to count against a text.
+    few_marks: int = 4
     capitals: float = 0.4
     repeated_words: float = 0.2
     repeated_lines: float = 0.4
@@ -54,10 +56,10 @@ def _failures(v: str, limits: Limits) -> tuple[str, str]:
     some = f"greatest({v}n_words, 1)"
     strict = (
         f"{v}n_words = 0",
-        f"{v}n_symbols > {limits.symbols_a_word} * {some}",
-        f"{v}n_shouts > {limits.shouts_a_word} * {some}",
-        f"{v}n_capitals > {limits.capitals} * {v}n_chars",
-        f"{v}n_repeated > {limits.repeated_words} * {some}",
+        f"({v}n_symbols > {limits.few_marks} AND {v}n_symbols > {limits.symbols_a_word} * {some})",
+        f"({v}n_shouts > {limits.few_marks} AND {v}n_shouts > {limits.shouts_a_word} * {some})",
+        f"({v}n_words >= {limits.least_words} AND {v}n_capitals > {limits.capitals} * {v}n_chars)",
+        f"({v}n_words >= {limits.least_words} AND {v}n_repeated > {limits.repeated_words} * {some})",
         f"({v}n_lines >= {limits.least_lines} AND {v}n_lines - {v}n_distinct_lines > {limits.repeated_lines} * {v}n_lines)",
         f"{v}n_insults >= {limits.insults}",
     )
