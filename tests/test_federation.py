@@ -17,12 +17,14 @@ from tributary.plans.cache import ResultCache
 from tributary.plans.engine import FederationEngine
 from tributary.sources.registry import Registry
 from tributary.sources.schema import affinity, parse_override
+from tributary.streaming.refresh import Refresher
 
+EVERYONE = "Alice Bob Charlie Diana Eve Frank".split()
 USERS = {
-    "east": [(1, "Alice", "alice@example.com"), (2, "Bob", "bob@east.com")],
-    "west": [(10, "Charlie", "charlie@example.com"), (11, "Diana", "diana@west.com"), (12, "Eve", "eve@example.com")],
-    "north": [(20, "Frank", "frank@north.com")],
+    alias: [(i, name, f"{name.lower()}@{host}.com") for i, name, host in rows]
+    for alias, rows in {"east": zip((1, 2), EVERYONE, ("example", "east")), "west": zip((10, 11, 12), EVERYONE[2:], ("example", "west", "example")), "north": zip((20,), EVERYONE[5:], ("north",))}.items()
 }
+PEOPLE = "CREATE TABLE users (id INTEGER PRIMARY KEY, {}, {})".format
 
 
 def write(path, ddl, rows):
@@ -39,7 +41,7 @@ def write(path, ddl, rows):
 def users(tmp_path):
     registry = Registry()
     for i, (alias, rows) in enumerate(USERS.items()):
-        registry.add_source(write(tmp_path / f"{alias}.db", "CREATE TABLE users (id INTEGER PRIMARY KEY, name TEXT NOT NULL, email TEXT)", rows), alias, priority=i)
+        registry.add_source(write(tmp_path / f"{alias}.db", PEOPLE("name TEXT", "email TEXT"), rows), alias, priority=i)
     registry.reload()
     return registry
 
@@ -108,7 +110,7 @@ def test_rowids(engine, spark, tmp_path):
 def test_order_and_limits(engine):
     assert names(engine.query("people", source="west", order_by="-name")) == ["Eve", "Diana", "Charlie"]
     assert names(engine.query("people", source="west", order_by="name", limit=2)) == ["Charlie", "Diana"]
-    everyone = ["Alice", "Bob", "Charlie", "Diana", "Eve", "Frank"]
+    everyone = EVERYONE
     assert names(engine.query("people", order_by="name")) == everyone
     assert names(engine.query("people", order_by="-name")) == everyone[::-1]
     assert names(engine.query("people", order_by="name", limit=3)) == everyone[:3]
@@ -120,7 +122,7 @@ def test_order_and_limits(engine):
 
 def test_schemas(engine, tmp_path):
     registry = engine.registry
-    registry.add_source(write(tmp_path / "odd.db", "CREATE TABLE users (id INTEGER PRIMARY KEY, full_name TEXT, address TEXT)", []), "odd", priority=9)
+    registry.add_source(write(tmp_path / "odd.db", PEOPLE("full_name TEXT", "address TEXT"), []), "odd", priority=9)
     registry.reload()
     with pytest.raises(FederationError, match="schema mismatch in source"):
         engine.create_federated_table("people2", table="users")
@@ -153,7 +155,7 @@ def test_first_source_must_open(spark, tmp_path):
 def test_lost_source_is_skipped_and_counted(engine, tmp_path):
     os.remove(tmp_path / "north.db")
     df = engine.query("people", order_by="name")
-    assert names(df) == ["Alice", "Bob", "Charlie", "Diana", "Eve"]
+    assert names(df) == EVERYONE[:5]
     assert {r[ERRORS] for r in df.collect()} == {1}
 
 
@@ -286,6 +288,16 @@ def test_refreshed_copy(spark, tmp_path):
     assert engine.query("people", "name = 'Charlie'").count() == 1  # a fresh copy answers
 
 
+def test_background_refresh(spark, tmp_path):
+    engine = FederationEngine(spark, users(tmp_path))
+    engine.create_federated_table("people", table="users", cache_db=str(tmp_path / "copy"))
+    with Refresher(engine, "people", seconds=0.2) as own:
+        until = time.time() + 60
+        while own.rounds < 2 and time.time() < until:
+            time.sleep(0.1)
+    assert own.rounds >= 2 and own.error is None and engine.copied("people").count() == 6
+
+
 def test_registry(tmp_path):
     path = str(tmp_path / "registry.db")
     assert FederationEngine.init_registry(path) == "ok" and FederationEngine.init_registry(path) == "ok"
@@ -330,7 +342,7 @@ def test_configuration(engine):
 
 def test_sql_sees_registry_changes(engine, tmp_path):
     assert engine.sql("SELECT count(*) FROM people").first()[0] == 6
-    engine.add_source("people", write(tmp_path / "south.db", "CREATE TABLE users (id INTEGER PRIMARY KEY, name TEXT, email TEXT)", [(99, "Zed", None)]), "south", priority=9)
+    engine.add_source("people", write(tmp_path / "south.db", PEOPLE("name TEXT", "email TEXT"), [(99, "Zed", None)]), "south", priority=9)
     engine.reload_registry("people")
     assert engine.sql("SELECT count(*) FROM people WHERE _source_db = 'south'").first()[0] == 1
     assert engine.sql("SELECT a.name FROM people a JOIN people b ON a.id = b.id + 1").count() == 3

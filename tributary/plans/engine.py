@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import threading
 from dataclasses import dataclass, field
@@ -18,6 +17,7 @@ from tributary.operators.federate import ERRORS, RANK, ROWID, SOURCE, Federation
 from tributary.operators.scanner import Scanner
 from tributary.plans.cache import MAX_BYTES, MAX_ROWS, ResultCache
 from tributary.plans.materialize import REFRESH_SECONDS, RefreshedCopy, Snapshot
+from tributary.sources.files import join
 from tributary.sources.readers import ROW_NUMBER
 from tributary.sources.registry import Registry
 from tributary.sources.schema import parse_override
@@ -58,11 +58,11 @@ class FederationEngine:
 
     def _folder(self, name: str, kind: str) -> str:
         if self._warehouse is None:
-            shared = self.spark.conf.get("spark.checkpoint.dir", None)
-            self._warehouse = shared.removeprefix("file://").removeprefix("file:") if shared else tempfile.mkdtemp(prefix="tributary-")
-        return os.path.join(self._warehouse, f"{kind}-{name}")
+            shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
+            self._warehouse = shared or tempfile.mkdtemp(prefix="tributary-")
+        return join(self._warehouse, f"{kind}-{name}")
 
-    # -- tables -------------------------------------------------------------
+    # -- tables --
 
     @staticmethod
     def init_registry(path: str) -> str:
@@ -169,7 +169,7 @@ class FederationEngine:
                 self.table(name).createOrReplaceTempView(name)
             return self.spark.sql(text, args=args) if args is not None else self.spark.sql(text)
 
-    # -- queries ------------------------------------------------------------
+    # -- queries --
 
     def lookup(self, name: str, rowid: int) -> DataFrame:
         """The row of a composite row id: one source is read, by its own key. An unknown id gives no rows."""
@@ -243,7 +243,7 @@ class FederationEngine:
         own = self._get(name)
         return Scanner(self.spark, own.registry, own.table, own.key)
 
-    # -- aggregates ---------------------------------------------------------
+    # -- aggregates --
 
     def aggregate_df(self, function: str, name: str, column: str | None = None, where: str | Column | None = None) -> DataFrame:
         """One row, ``value``; ``name`` is that of a federated table or, if none has it, of the table its sources hold."""
@@ -273,7 +273,7 @@ class FederationEngine:
     def max(self, name: str, column: str, where: str | Column | None = None):
         return self.aggregate_df("max", name, column, where).first()[0]
 
-    # -- administration -----------------------------------------------------
+    # -- administration --
 
     def status(self, name: str) -> dict:
         own = self._get(name)

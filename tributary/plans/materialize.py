@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import time
 import uuid
 from collections.abc import Callable
@@ -16,6 +14,7 @@ from pyspark.sql import types as T
 
 from tributary.errors import FederationError
 from tributary.operators.federate import ERRORS, SOURCE, Federation
+from tributary.sources.files import Files, join
 from tributary.sources.readers import fingerprint
 from tributary.sources.registry import Source
 
@@ -26,32 +25,30 @@ class Snapshot:
     """A copy of all sources at one time; later openings use it as it is."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.files = spark, path, Files(spark)
 
     @property
     def exists(self) -> bool:
-        return os.path.exists(os.path.join(self.path, "_SUCCESS"))
+        return self.files.exists(join(self.path, "_SUCCESS"))
 
     def create(self, fed: Federation) -> None:
         """Copy the sources that can be read, beside what is there, and put it in place when it is whole."""
         new = f"{self.path}.{uuid.uuid4().hex}"
         fed.df.drop(ERRORS).write.partitionBy(SOURCE).parquet(new)
-        with open(os.path.join(new, "_schema.json"), "w") as f:
-            f.write(fed.df.drop(ERRORS).schema.json())
+        self.files.write(join(new, "_schema.json"), fed.df.drop(ERRORS).schema.json())
         self.drop()
-        os.rename(new, self.path)
+        self.files.rename(new, self.path)
 
     def open(self) -> DataFrame:
         """The copy's rows; predicates on the source prune its folders."""
         if not self.exists:
             raise FederationError(f"no snapshot at {self.path}")
-        with open(os.path.join(self.path, "_schema.json")) as f:
-            schema = T.StructType.fromJson(json.load(f))
+        schema = T.StructType.fromJson(json.loads(self.files.read(join(self.path, "_schema.json"))))
         df = self.spark.read.schema(schema).parquet(self.path)
         return df.withColumn(ERRORS, F.lit(0))
 
     def drop(self) -> None:
-        shutil.rmtree(self.path, ignore_errors=True)
+        self.files.delete(self.path)
 
 
 class RefreshedCopy:
@@ -65,14 +62,11 @@ class RefreshedCopy:
 
     def __init__(self, spark: SparkSession, path: str, refresh_seconds: float = REFRESH_SECONDS, clock: Callable[[], float] = time.time):
         self.spark, self.path, self.refresh_seconds, self._clock = spark, path, refresh_seconds, clock
-        self._listing = os.path.join(path, "listing.json")
+        self.files, self._listing = Files(spark), join(path, "listing.json")
 
     def _read(self) -> dict:
-        try:
-            with open(self._listing) as f:
-                return json.load(f)
-        except OSError:
-            return {"refreshed": 0.0, "schema": None, "sources": {}}
+        text = self.files.read(self._listing)
+        return json.loads(text) if text else {"refreshed": 0.0, "schema": None, "sources": {}}
 
     @property
     def last_refresh(self) -> float:
@@ -88,7 +82,7 @@ class RefreshedCopy:
         now, done = self._read(), {}
         held, files = now["sources"], {}
         for s in sources:
-            print_ = fingerprint(s, table)
+            print_ = fingerprint(self.spark, s, table)
             mark = None if print_ is None else [*print_, s.path, s.predicate, s.id]
             if mark is None:
                 done[s.alias] = "stale" if s.alias in held else "missing"
@@ -105,19 +99,15 @@ class RefreshedCopy:
                         files[s.alias] = held[s.alias]
                     continue
                 folder = f"{quote(s.alias, safe='')}-{uuid.uuid4().hex}"
-                fed.df.drop(ERRORS).write.parquet(os.path.join(self.path, folder))
+                fed.df.drop(ERRORS).write.parquet(join(self.path, folder))
                 files[s.alias] = {"folder": folder, "mark": mark}
                 now["schema"] = fed.df.drop(ERRORS).schema.json()
                 done[s.alias] = "copied"
         done |= dict.fromkeys(held.keys() - {s.alias for s in sources}, "dropped")
-        os.makedirs(self.path, exist_ok=True)
-        part = f"{self._listing}.{uuid.uuid4().hex}"
-        with open(part, "w") as f:
-            json.dump({"refreshed": self._clock(), "schema": now["schema"], "sources": files}, f)
-        os.replace(part, self._listing)
+        self.files.write(self._listing, json.dumps({"refreshed": self._clock(), "schema": now["schema"], "sources": files}))
         for alias, entry in held.items():
             if files.get(alias, {}).get("folder") != entry["folder"]:
-                shutil.rmtree(os.path.join(self.path, entry["folder"]), ignore_errors=True)
+                self.files.delete(join(self.path, entry["folder"]))
         return done
 
     def open(self, source: str | None = None) -> DataFrame:
@@ -126,9 +116,9 @@ class RefreshedCopy:
         if now["schema"] is None:
             raise FederationError(f"nothing has been copied to {self.path}")
         schema = T.StructType.fromJson(json.loads(now["schema"]))
-        folders = [os.path.join(self.path, e["folder"]) for a, e in now["sources"].items() if source in (None, a)]
+        folders = [join(self.path, e["folder"]) for a, e in now["sources"].items() if source in (None, a)]
         df = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
         return df.withColumn(ERRORS, F.lit(0))
 
     def drop(self) -> None:
-        shutil.rmtree(self.path, ignore_errors=True)
+        self.files.delete(self.path)

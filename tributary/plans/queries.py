@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -61,7 +60,7 @@ def _predicate(name: str, condition: Callable[[], object], sql: str) -> None:
     query(f"SELECT {_LIST} FROM {FED} WHERE {sql}")(run)
 
 
-# -- scans --------------------------------------------------------------------
+# -- scans --
 
 
 @query("""SELECT _source_db, count(*) AS n, round(sum(o_totalprice), 2) AS revenue, max(top) AS top
@@ -125,7 +124,7 @@ def fed_fan_out(spark, sf_dir):
     return df.filter("l_discount > 0.05").groupBy(SOURCE).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-# -- predicates ---------------------------------------------------------------
+# -- predicates --
 
 _predicate("pred_eq", lambda: F.col("o_custkey") == 77, "o_custkey = 77")
 _predicate("pred_ne", lambda: F.col("o_orderstatus") != "F", "o_orderstatus <> 'F'")
@@ -150,7 +149,7 @@ def pred_raw_text(spark, sf_dir):
     return sliced(spark, sf_dir).query("fed", "o_orderstatus = ? AND o_totalprice > ?", args=["F", 250000.0]).select(*_COLUMNS)
 
 
-# -- order and limits -----------------------------------------------------------
+# -- order and limits --
 
 
 def _ranked(df: DataFrame, *order) -> DataFrame:
@@ -203,7 +202,7 @@ def limit_zero(spark, sf_dir):
     return sliced(spark, sf_dir).head("fed", 0).agg(F.count(F.lit(1)).alias("n"))
 
 
-# -- aggregates -----------------------------------------------------------------
+# -- aggregates --
 
 
 def _aggregate(name: str, function: str, column: str | None, where: str | None, sql: str) -> None:
@@ -251,7 +250,7 @@ def agg_grouping_sets(spark, sf_dir):
     return sliced(spark, sf_dir).sql("SELECT _source_db, o_orderstatus, round(avg(o_totalprice), 2) AS mean FROM fed GROUP BY GROUPING SETS ((_source_db), (o_orderstatus))")
 
 
-# -- what Spark SQL brings, over federated tables ---------------------------------
+# -- what Spark SQL brings, over federated tables --
 
 
 @query(f"SELECT c_mktsegment, _source_db, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS revenue FROM {FED} o JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
@@ -344,7 +343,7 @@ def set_except_all(spark, sf_dir):
     return _keys(spark, sf_dir, "src_0").exceptAll(_keys(spark, sf_dir, "src_1"))
 
 
-# -- copies and caches ------------------------------------------------------------
+# -- copies and caches --
 
 
 @query(f"SELECT {_LIST}, _rowid FROM {FED}")
@@ -391,7 +390,7 @@ def l1_repeat(spark, sf_dir):
     return engine.query("fed", "o_custkey < 20").select(*_COLUMNS)
 
 
-# -- resilience ---------------------------------------------------------------------
+# -- resilience --
 
 
 def _changed(spark: SparkSession, sf_dir: str, change: Callable[[Registry], object]) -> FederationEngine:
@@ -442,7 +441,8 @@ def sqlite_sources(spark, sf_dir):
     """Two SQLite files, made from orders, as sources."""
     import sqlite3
 
-    folder = tempfile.mkdtemp(prefix="tributary-sqlite-")
+    folder = FederationEngine(spark)._folder(os.urandom(8).hex(), "sqlite").removeprefix("file://")
+    os.makedirs(folder)
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey < 400").select("o_orderkey", "o_totalprice", "o_orderstatus").collect()
     registry = Registry()
     for k in range(2):

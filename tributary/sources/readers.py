@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tributary.errors import FederationError
+from tributary.sources.files import Files
 from tributary.sources.registry import Source
 from tributary.sources.schema import affinity
 
@@ -108,17 +109,9 @@ def locate(source: Source, table: str) -> str:
     return path
 
 
-def fingerprint(source: Source, table: str) -> tuple[int, int] | None:
-    """(newest change in ns, bytes) of the source's files; None if they aren't there."""
-    path = locate(source, table)
-    try:
-        if not os.path.isdir(path):
-            s = os.stat(path)
-            return s.st_mtime_ns, s.st_size
-        stats = [os.stat(os.path.join(d, f)) for d, _, files in os.walk(path) for f in files]
-        return max((s.st_mtime_ns for s in stats), default=0), sum(s.st_size for s in stats)
-    except OSError:
-        return None
+def fingerprint(spark: SparkSession, source: Source, table: str) -> tuple[int, int] | None:
+    """(newest change, bytes) of the source's files; None if they aren't there."""
+    return Files(spark).mark(locate(source, table))
 
 
 def open_source(spark: SparkSession, source: Source, table: str, schema: T.StructType | None = None, row_numbers: bool = False) -> DataFrame:

@@ -66,11 +66,11 @@ class Registry:
     def _create(self, db: sqlite3.Connection) -> None:
         db.executescript(
             f"""CREATE TABLE IF NOT EXISTS {self._sources_table} (
-                id INTEGER PRIMARY KEY AUTOINCREMENT, path TEXT NOT NULL, alias TEXT NOT NULL UNIQUE,
-                active INTEGER NOT NULL DEFAULT 1, priority INTEGER NOT NULL DEFAULT 0, format TEXT NOT NULL DEFAULT '',
-                predicate TEXT NOT NULL DEFAULT '', added_at TEXT NOT NULL DEFAULT (datetime('now')), notes TEXT, UNIQUE (path, predicate));
+                id INTEGER PRIMARY KEY AUTOINCREMENT, alias TEXT UNIQUE NOT NULL, path TEXT NOT NULL, predicate TEXT NOT NULL DEFAULT '',
+                format TEXT NOT NULL DEFAULT '', priority INTEGER DEFAULT 0 NOT NULL, active INTEGER DEFAULT 1 NOT NULL, notes TEXT,
+                added_at TEXT DEFAULT CURRENT_TIMESTAMP, UNIQUE (path, predicate));
             CREATE TABLE IF NOT EXISTS {self._overrides_table} (
-                source_id INTEGER NOT NULL, table_name TEXT NOT NULL, active INTEGER NOT NULL DEFAULT 1, PRIMARY KEY (source_id, table_name));"""
+                table_name TEXT NOT NULL, source_id INTEGER NOT NULL, active INTEGER DEFAULT 1 NOT NULL, PRIMARY KEY (table_name, source_id));"""
         )
 
     def _run(self, sql: str, values: tuple = ()) -> list[tuple]:
