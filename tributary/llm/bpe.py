@@ -103,7 +103,7 @@ class Vocabulary:
             if self.tokens[i] and self.ranks.get(self.tokens[i]) == i:
                 self.whole[self.tokens[i]] = int(i)
 
-    # -- words --------------------------------------------------------------
+    # -- words --
 
     def _rows(self, ids: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge each row of ids to its end; ranks[:, j] is that of the pair (j, j + 1)."""
@@ -197,7 +197,7 @@ class Vocabulary:
             i = ends[i]
         return out
 
-    # -- documents ----------------------------------------------------------
+    # -- documents --
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents end to end, and how many each has."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -107,6 +106,3 @@ def batches(it: Iterable[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.Recor
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
-
-def on_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)

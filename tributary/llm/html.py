@@ -162,7 +162,7 @@ def hash_word(word: str) -> int:
     return got
 
 
-# -- the network ------------------------------------------------------------
+# -- the network --
 
 Weights = dict[str, np.ndarray]
 
@@ -290,7 +290,7 @@ def train(pages: list[list[Block]], epochs: int = EPOCHS, seed: int = SEED) -> W
     return weights
 
 
-# -- pages ------------------------------------------------------------------
+# -- pages --
 
 
 def sample(df: DataFrame, id_column: str, html_column: str, pages: int = TRAINING_PAGES) -> list[str]:

@@ -66,7 +66,7 @@ class Transducer:
             self.states.append(state)
         return at
 
-    # -- the words ----------------------------------------------------------
+    # -- the words --
 
     def _agrees(self, before: int, token: int) -> bool:
         """Whether BPE leaves these two tokens as they are, side by side."""
@@ -141,7 +141,7 @@ class Transducer:
             return longer(MARKS) if kind == OTHER else opened()
         return longer(mode) if mode == _OPENS[kind] else opened()
 
-    # -- many at once -------------------------------------------------------
+    # -- many at once --
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
