@@ -9,8 +9,9 @@ token before it, so that much decides all to come. States are made on first use,
 as lazy automata make theirs, and kept by the worker process.
 
 A text is read in chunks, all at once. A chunk's state map is constant from its
-first reset on (white space after anything else closes whatever word is open), and
-its front part is a function of the state it is entered in. A prefix scan composes
+first reset on (a character of another class closes the open word, but after white
+space and apostrophes, whose words depend on more), and its front part is a function
+of the state it is entered in. A prefix scan composes
 the maps: the last constant one before a chunk gives its entry state. Summed over
 chunks, the transitions' counts are the documents' token counts.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm.bpe import VOCABULARY, Vocabulary, parsed, vocabulary_file
 from tributary.llm.common import batches, load, slices, text_bytes
-from tributary.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, classes, code_points
+from tributary.llm.pretokens import EDGE, LETTER, NUMBER, OTHER, SPACE, classes, code_points
 
 #: Characters of a chunk; states after which a worker starts its automaton anew.
 CHUNK, MOST_STATES = 256, 250_000
@@ -213,10 +214,10 @@ class Transducer:
         places = np.arange(n) + np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
         points[places] = found
         change = np.zeros(len(points), np.int16)
-        white = self.kind[np.minimum(points, END - 1)] == SPACE
-        white[points == END] = False
+        kind = self.kind[np.minimum(points, END - 1)]
+        kind[points == END] = EDGE
         reset = np.zeros(len(points), bool)
-        reset[1:] = (white[1:] & ~white[:-1]) | (points[:-1] == END)
+        reset[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != SPACE) & ((points[:-1] != 0x27) | (kind[1:] != LETTER)) | (kind[:-1] == EDGE)
         if len(points):
             reset[0] = True
         starts = np.arange(0, len(points), chunk)
