@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.errors import FederationError
-from tributary.sources.readers import ROW_NUMBER, open_source
+from tributary.sources.readers import ROW_NUMBER, open_source, open_sources
 from tributary.sources.registry import Source
 from tributary.sources.schema import check_match, parse_override
 
@@ -70,12 +70,10 @@ def federate(spark: SparkSession, sources: tuple[Source, ...], table: str, key:
     expected = given or first_schema or discover(spark, sources, table, lenient)
     opened: list[tuple[int, Source, DataFrame]] = []
     failed, warnings = [], []
-    for rank, source in enumerate(sources):
-        try:
-            own = open_source(spark, source, table, given, row_numbers=key is None)
-        except FederationError as e:
+    for rank, (source, own) in enumerate(zip(sources, open_sources(spark, sources, table, given, row_numbers=key is None), strict=True)):
+        if isinstance(own, FederationError):
             failed.append(source)
-            warnings.append(str(e))
+            warnings.append(str(own))
             continue
         visible = T.StructType([f for f in own.schema if f.name != ROW_NUMBER])
         if given is None:

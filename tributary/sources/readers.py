@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sqlite3
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from tributary.sources.schema import affinity
 FORMATS = {".parquet": "parquet", ".orc": "orc", ".json": "json", ".jsonl": "json", ".csv": "csv", ".db": "sqlite", ".sqlite": "sqlite", ".sqlite3": "sqlite"}
 #: Key column that stands for a row's own number in its source.
 ROW_NUMBER = "_source_rowid"
+#: Places that the driver opens at a time.
+OPENERS = 16
 _FILE_BITS, _ROW_BITS = 12, 28
 
 
@@ -114,8 +117,37 @@ def fingerprint(spark: SparkSession, source: Source, table: str) -> tuple[int, i
     return Files(spark).mark(locate(source, table))
 
 
+def open_sources(spark: SparkSession, sources: tuple[Source, ...], table: str, schema: T.StructType | None = None, row_numbers: bool = False) -> list[DataFrame | FederationError]:
+    """Every source's rows, or why it can't be read. Each place is opened once, several at a time."""
+    places = {(locate(s, table), s.format): s for s in reversed(sources)}
+
+    def opened(item):
+        try:
+            return item[0], _open(spark, item[1], table, schema, row_numbers)
+        except FederationError as e:
+            return item[0], e
+
+    with ThreadPoolExecutor(max(1, min(OPENERS, len(places)))) as pool:
+        bases = dict(pool.map(opened, places.items()))
+    out: list[DataFrame | FederationError] = []
+    for s in sources:
+        base = bases[locate(s, table), s.format]
+        try:
+            out.append(base.filter(F.expr(s.predicate)) if s.predicate and isinstance(base, DataFrame) else base)
+        except Exception as e:
+            out.append(FederationError(f"source {s.alias!r}: {str(e).splitlines()[0]}"))
+    return out
+
+
 def open_source(spark: SparkSession, source: Source, table: str, schema: T.StructType | None = None, row_numbers: bool = False) -> DataFrame:
     """The source's rows with its own columns, and ``_source_rowid`` if asked for; any failure raises FederationError."""
+    got = open_sources(spark, (source,), table, schema, row_numbers)[0]
+    if isinstance(got, FederationError):
+        raise got
+    return got
+
+
+def _open(spark: SparkSession, source: Source, table: str, schema: T.StructType | None, row_numbers: bool) -> DataFrame:
     path = locate(source, table)
     kind = file_format(source, path)
     try:
@@ -138,8 +170,6 @@ def open_source(spark: SparkSession, source: Source, table: str, schema: T.Struc
                 if kind != "parquet":
                     raise FederationError(f"rows of {kind} files have no stable number; name a key column")
                 df = df.withColumn(ROW_NUMBER, _row_number(df))
-        if source.predicate:
-            df = df.filter(F.expr(source.predicate))
         return df if row_numbers else df.drop(ROW_NUMBER)
     except FederationError:
         raise
