@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,10 +13,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows that Spark hands to Python at a time, where the session leaves Spark's default: ten thousand texts are too many to hold twice over.
+BATCH_ROWS, SPARKS_BATCH_ROWS = 1000, "10000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have texts handed over in smaller batches, unless the session says how many; results don't depend on it."""
+    if spark.conf.get(_BATCH, SPARKS_BATCH_ROWS) == SPARKS_BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -101,8 +113,25 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+@functools.lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back to the system, which a worker that waits for its next task doesn't need."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def batches(it: Iterable[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    for batch in it:
+    for n, batch in enumerate(it):
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        if n % 8 == 7:
+            release()
+    release()
 

@@ -17,7 +17,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,17 +98,17 @@ def mix(
     shards = -(-drawn // shard_rows)
     blocks = np.array([-(-own[s] // block) for s in names], np.int64)
 
-    def deal(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for k in pdf["id"]:
-                got = leaf(blocks, shards, int(k), seed)
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for k in batch.column(0).to_pylist():
+                got = leaf(blocks, shards, k, seed)
                 which = np.flatnonzero(got)
-                yield pd.DataFrame({"place": which, "shard": np.int64(k), "blocks": got[which]})
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.full(len(which), k, np.int64)), pa.array(got[which])], names=["place", "shard", "blocks"])
 
     listed = spark.createDataFrame([(i, s, own[s]) for i, s in enumerate(names)], "place bigint, source string, quota bigint")
     by_source = Window.partitionBy("source").orderBy("shard")
     until = F.least(F.sum("blocks").over(by_source) * block, F.col("quota"))
-    dealt = spark.range(shards).mapInPandas(deal, "place bigint, shard bigint, blocks bigint").join(listed, "place")
+    dealt = spark.range(shards).mapInArrow(deal, "place bigint, shard bigint, blocks bigint").join(listed, "place")
     dealt = dealt.select("source", "shard", "quota", until.alias("until"))
     since = F.coalesce(F.lag("until").over(by_source), F.lit(0))
     points = dealt.select("source", "shard", since.alias("rank"))

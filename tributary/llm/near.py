@@ -161,7 +161,7 @@ def _involved(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shipped.value, np.uint8)
-        for batch in it:
+        for batch in batches(it):
             at = batch.column(2).to_numpy()
             yield batch.select([0, 1]).filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
 
@@ -190,14 +190,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, search: Search) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
-        for whole in it:
-            for batch in batches([whole], 512):
-                a, sets, kept = batch.column(0).to_pylist(), _sets(batch.column(3), search), []
-                for i, x in enumerate(a):
-                    if x != last:
-                        last, own = x, _sets(batch.column(2).slice(i, 1), search)[0]
-                    kept.append(jaccard(own, sets[i]) >= search.threshold)
-                yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+        for batch in batches(it, 512):
+            a, sets, kept = batch.column(0).to_pylist(), _sets(batch.column(3), search), []
+            for i, x in enumerate(a):
+                if x != last:
+                    last, own = x, _sets(batch.column(2).slice(i, 1), search)[0]
+                kept.append(jaccard(own, sets[i]) >= search.threshold)
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     texts = _involved(docs, pairs)
     # An id that several rows share is compared by one of its texts.

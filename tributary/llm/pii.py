@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import batches, fresh, load
+from tributary.llm.common import batches, load, release
 from tributary.llm.quality import _quoted
 
 _LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТХУІЈЅοαρνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧıɑɡ", "aeopcyxijshdqwABEKMHOPCTXYIJSoapvikABEZHIKMNOPTYXiag", strict=True))
@@ -261,11 +261,11 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
 def redact(df: DataFrame, text_column: str = "text") -> DataFrame:
     """``df`` with identifiers in the text replaced by their kinds; null and empty texts stay, as do all rows and other columns."""
 
-    @F.pandas_udf("string")
-    def run(texts):
-        import pandas as pd
-
-        return pd.Series([redacted(t) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        out = pa.array([redacted(t) for t in texts.to_pylist()], pa.string())
+        release()
+        return out
 
     return df.withColumn(text_column, run(F.col(_quoted(text_column)).cast("string")))
 
