@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,7 +100,14 @@ def federate(spark: SparkSession, sources: tuple[Source, ...], table: str, key:
     if not branches:
         hidden = T.StructType([T.StructField(SOURCE, T.StringType()), T.StructField(ERRORS, T.IntegerType()), T.StructField(ROWID, T.LongType()), T.StructField(SOURCE_ID, T.LongType()), T.StructField(RANK, T.IntegerType()), T.StructField(ROW_NUMBER, T.LongType())])
         return Federation(spark.createDataFrame([], T.StructType([*expected.fields, *hidden.fields])), expected, sources, tuple(failed), warnings)
-    return Federation(reduce(lambda a, b: a.unionByName(b), branches), expected, sources, tuple(failed), warnings)
+    return Federation(union(branches), expected, sources, tuple(failed), warnings)
+
+
+def union(branches: list[DataFrame]) -> DataFrame:
+    """All branches, joined pairwise: each step analyses its plan anew, so a chain would cost the square of their number."""
+    while len(branches) > 1:
+        branches = [a.union(b) for a, b in zip(branches[::2], branches[1::2], strict=False)] + branches[len(branches) & ~1 :]
+    return branches[0]
 
 
 def select_visible(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from tributary.operators.scanner import Scanner
 from tributary.plans.cache import MAX_BYTES, MAX_ROWS, ResultCache
 from tributary.plans.materialize import REFRESH_SECONDS, RefreshedCopy, Snapshot
 from tributary.sources.files import join
-from tributary.sources.readers import ROW_NUMBER
+from tributary.sources.readers import ROW_NUMBER, fingerprint
 from tributary.sources.registry import Registry
 from tributary.sources.schema import parse_override
 
@@ -40,6 +40,8 @@ class Table:
     copy: RefreshedCopy | None
     snapshot: Snapshot | None
     warnings: list[str] = field(default_factory=list)
+    #: The last plan, and the sources and marks of their files that it was built for.
+    built: tuple[tuple, Federation] | None = None
 
 
 class FederationEngine:
@@ -148,7 +150,13 @@ class FederationEngine:
         return own
 
     def _federation(self, own: Table) -> Federation:
-        return federate(self.spark, own.registry.sources(own.table), own.table, own.key, own.given, own.schema)
+        """The plan over the sources as they are; built again only if the list or a file has changed."""
+        sources = own.registry.sources(own.table)
+        marks = {s.path: fingerprint(self.spark, s, own.table) for s in sources}
+        now = sources, tuple(marks.items())
+        if own.built is None or own.built[0] != now:
+            own.built = now, federate(self.spark, sources, own.table, own.key, own.given, own.schema)
+        return own.built[1]
 
     def table(self, name: str) -> DataFrame:
         """The table as the registry has it now, with its hidden columns."""
