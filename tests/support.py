@@ -1,13 +1,19 @@
 """Comparing results."""
 
+import numbers
+
+import pandas as pd
+
 
 def same(ours, theirs) -> None:
     """Equal columns and rows, in any order; numbers to six places."""
 
     def plain(v):
-        if v is None or v != v or str(v) == "NaT":
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return "null"
-        return repr(round(v, 6)) if isinstance(v, float) else str(v)
+        if isinstance(v, numbers.Real) and not isinstance(v, bool) and abs(v) < 2**53:
+            return repr(round(float(v), 6))
+        return str(v)
 
     assert sorted(ours.columns) == sorted(theirs.columns)
     columns = sorted(ours.columns)
