@@ -35,7 +35,10 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn to weights of the square root of their sources' sizes, shard by shard in shuffled order."""
-    return mixing.mix(docs).select(*("`" + c.replace("`", "``") + "`" for c in docs.columns))
+    out = mixing.mix(docs)
+    # The order is what is decided, so it is what is written: sorted before its columns go.
+    out = out.sortWithinPartitions(*out.columns[-2:])
+    return out.select(*("`" + c.replace("`", "``") + "`" for c in docs.columns))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

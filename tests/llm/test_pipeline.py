@@ -37,6 +37,16 @@ def test_run_is_its_stages(spark, sf, documents):
     assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_mixing_writes_its_order(spark, sf, documents, tmp_path):
+    """Shard by shard, each in its shuffled order, in the files."""
+    corpus_pipeline.mixed(spark, documents, sf).write.parquet(str(tmp_path / "mixed"))
+    place = {r.doc_id: (r.shard, r.position) for r in mixing.mix(documents).collect()}
+    files = spark.read.parquet(str(tmp_path / "mixed")).selectExpr("_metadata.file_name AS f", "_metadata.row_index AS i", "doc_id").orderBy("f", "i").collect()
+    assert len(files) == len(place)
+    for a, b in zip(files, files[1:]):
+        assert a.f != b.f or place[a.doc_id] < place[b.doc_id]
+
+
 @pytest.mark.parametrize("place", range(4))
 def test_stages_on_awkward_rows(spark, sf, awkward, place):
     stage = corpus_pipeline.STAGES[place][1]
