@@ -19,6 +19,19 @@ def test_quotas():
         quotas({"a": 1, "b": 9}, {"a": 1, "b": 1}, total=4)
 
 
+def test_a_rare_source_does_not_bound_the_total(make):
+    counts = {"hot": 5_000_000, **{f"s{i}": 250_000 for i in range(19)}, "": 1}
+    assert sum(quotas(counts).values()) < 0.002 * sum(counts.values())
+    assert quotas(counts, fill=True) == counts
+    got = quotas(counts, total=6_000_001, fill=True)
+    assert sum(got.values()) == 6_000_001 and got[""] == 1 and got["s0"] == 250_000 and got["hot"] == 1_250_000
+    assert quotas({"a": 9, "b": 1}, {"a": 1, "b": 1}, total=4, fill=True) == {"a": 3, "b": 1}
+    assert quotas({"a": 9, "b": 9}, {"a": 1}, fill=True) == {"a": 9, "b": 0} and quotas({}, fill=True) == {}
+    df = make(*[(i, f"text {i}", "many" if i else None) for i in range(50)])
+    assert mix(df).count() < 10 and mix(df, fill=True).count() == 50
+    assert Counter(r.source for r in mix(df, total=20, fill=True).collect()) == {"many": 19, None: 1}
+
+
 def test_leaves_are_an_exact_deal():
     blocks = np.array([40, 7, 0, 13])
     for shards in (1, 2, 7, 16):

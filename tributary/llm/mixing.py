@@ -31,12 +31,15 @@ SHARD_ROWS, BLOCK, SEED = 4096, 16, 20_111
 RANK_ROWS, MOST_BLOCKS = 200_000, 500_000_000
 
 
-def quotas(counts: dict[str, int], weights: dict[str, float] | None = None, total: int | None = None, power: float = POWER) -> dict[str, int]:
+def quotas(counts: dict[str, int], weights: dict[str, float] | None = None, total: int | None = None, power: float = POWER, fill: bool = False) -> dict[str, int]:
     """Documents to draw from each source.
 
     The total is ``total``, or the most that no source falls short of; shares are
     rounded by largest remainders, ties to the source that sorts first. A source
-    without weight gets none. More than there is raises an error.
+    without weight gets none. More than there is raises an error. With ``fill``,
+    no source bounds the total: one that falls short gives all it has, the others
+    share the rest by their weights, and the total is at most, and by default, all
+    documents of the sources with a weight.
     """
     raw = {s: float(n) ** power for s, n in counts.items()} if weights is None else {s: float(weights.get(s, 0)) for s in counts}
     if any(w < 0 or not math.isfinite(w) for w in raw.values()):
@@ -44,6 +47,13 @@ def quotas(counts: dict[str, int], weights: dict[str, float] | None = None, tota
     whole = sum(raw.values())
     if not whole:
         return dict.fromkeys(counts, 0)
+    if fill:
+        there = sum(counts[s] for s, w in raw.items() if w)
+        goal, given = there if total is None else min(total, there), {}
+        while short := {s: counts[s] for s in raw if s not in given and raw[s] and (goal - sum(given.values())) * raw[s] >= counts[s] * sum(w for t, w in raw.items() if t not in given)}:
+            given |= short
+        rest = quotas({s: n for s, n in counts.items() if s not in given}, {s: w for s, w in raw.items() if s not in given}, goal - sum(given.values()))
+        return {s: given.get(s, rest.get(s, 0)) for s in counts}
     share = {s: w / whole for s, w in raw.items()}
     most = total if total is not None else min(int(counts[s] / p + 1e-9) for s, p in share.items() if p)
     out = {s: int(most * p) for s, p in share.items()}
@@ -73,14 +83,14 @@ def leaf(blocks: np.ndarray, shards: int, shard: int, seed: int) -> np.ndarray:
 
 def mix(
     df: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, power: float = POWER, shard_rows: int = SHARD_ROWS,
-    block: int = BLOCK, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", manifest: tuple[str, str] = ("shard", "position"),
+    block: int = BLOCK, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", manifest: tuple[str, str] = ("shard", "position"), fill: bool = False,
 ) -> DataFrame:
     """The drawn rows with all columns of ``df``, their shard and place in it, ordered within partitions.
 
     Both new columns get a leading ``_`` where ``df`` has one of their name. A null
     source is the source ''. Rows that agree in id and text share a place in the
     order, so they are drawn together or not at all, beyond the quota if need be;
-    null ids and texts count as values. An empty table, or weights that are all
+    null ids and texts count as values. ``fill`` is that of :func:`quotas`. An empty table, or weights that are all
     zero, give an empty one.
     """
     spark = df.sparkSession
@@ -89,7 +99,7 @@ def mix(
     keyed = keyed.withColumn(h, F.xxhash64(F.lit(seed), F.col(_quoted(id_column)), F.col(_quoted(text_column))))
     keys = cut(spark, keyed.select(F.col(source).alias("source"), F.col(h).alias("h")), "mixing")
     counts = {r["source"]: r["count"] for r in keys.groupBy("source").count().collect()}  # a row a source
-    own = quotas(counts, weights, total, power)
+    own = quotas(counts, weights, total, power, fill)
     names = sorted(s for s, n in own.items() if n)
     drawn = sum(own.values())
     if not drawn:
