@@ -119,6 +119,24 @@ def test_personal_data():
         assert pii.find(clean) == [], clean
 
 
+def test_numbers_beside_other_text():
+    """A card or IBAN is found whatever stands beside it."""
+    cases = {
+        "pay 4111 1111 1111 1111 12/26 now": ("card", "4111 1111 1111 1111"),
+        "pay 4111111111111111 123 now": ("card", "4111111111111111"),
+        "no 12 4111 1111 1111 1111.": ("card", "4111 1111 1111 1111"),
+        "amex 3782 822463 10005 1234": ("card", "3782 822463 10005"),
+        "to ES91 2100 0418 4502 0005 1332 BIC CAIXESBB": ("iban", "ES91 2100 0418 4502 0005 1332"),
+        "AT61 1904 3002 3457 3201 EUR": ("iban", "AT61 1904 3002 3457 3201"),
+        "IN AB12 DE89 3704 0044 0532 0130 00 EUR": ("iban", "DE89 3704 0044 0532 0130 00"),
+    }
+    for text, (kind, want) in cases.items():
+        assert [(k, text[a:b]) for k, a, b, *_ in pii.find(text)] == [(kind, want)], text
+        assert pii.redacted(text) == text.replace(want, f"<{kind.upper()}>")
+    two = "4111 1111 1111 1111 5555 5555 5555 4444"
+    assert pii.redacted(two) == "<CARD> <CARD>"
+
+
 def test_offsets_map_back():
     """What the transducers did, done again character by character."""
     rng = random.Random(9)

@@ -15,7 +15,7 @@ import re
 import sys
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -54,6 +54,10 @@ IPV4 = re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)", re.A)
 CARD = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)", re.A)
 SSN = re.compile(r"(?<![\w-])(?!000|666|9\d\d)\d{3}[- ](?!00)\d{2}[- ](?!0000)\d{4}(?![\w-])", re.A)
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)
+#: Numbers of each length, longest first, and the lengths that issuers give cards of their prefixes.
+CARDS = [re.compile(rf"(?<![\w.])\d(?:[ -]?\d){{{n - 1}}}(?![\w]|\.\d)", re.A) for n in range(19, 12, -1)]
+IBANS = [re.compile(rf"(?<!\w)[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}{f' ?[A-Z0-9]{{{n % 4}}}' if n % 4 else ''}(?!\w)", re.A) for n in range(34, 14, -1)]
+ISSUED = re.compile(r"(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3[0689]\d{12,17}|(?:35|6\d)\d{14,17}|(?:5[06-8]|6\d)\d{11,17})", re.A)
 PHONE = re.compile(r"(?<![\w+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\w|[.-]\d)", re.A)
 SPOKEN = re.compile(r"(?<!\w)\+?\d{7,15}(?!\w)", re.A)
 
@@ -183,6 +187,32 @@ def iban(text: str) -> bool:
     return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def checked(text: str, pattern: re.Pattern, lengths: list[re.Pattern], holds: Callable[[str], bool], part: Callable[[str], bool]) -> Iterator[tuple[int, int]]:
+    """Spans whose checksum holds: of each start the longest, then starts after it.
+
+    A match of ``pattern`` may hold what follows or precedes the identifier, so
+    shorter ones, and starts within it, are tried too; those must pass ``part``.
+    """
+    at = past = 0
+    while m := pattern.search(text, at):
+        start = m.start()
+        if holds(m.group()) and (start >= past or part(m.group())):
+            at = past = m.end()
+            yield m.span()
+            continue
+        for own in lengths:
+            if (short := own.match(text, start)) and short.end() < m.end() and part(short.group()) and holds(short.group()):
+                at = past = short.end()
+                yield short.span()
+                break
+        else:
+            at, past = start + 1, max(past, m.end())
+
+
+def _digits(text: str) -> str:
+    return text.replace(" ", "").replace("-", "")
+
+
 def detect(text: str, spelled: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Identifiers of a rewritten text."""
     found = []
@@ -190,9 +220,9 @@ def detect(text: str, spelled: list[tuple[int, int]]) -> list[tuple[str, int, in
         found += [("email", *m.span()) for m in EMAIL.finditer(text)]
     if _DIGIT.search(text):
         found += [("ip", *m.span()) for m in IPV4.finditer(text)]
-        found += [("card", *m.span()) for m in CARD.finditer(text) if luhn(re.sub("[ -]", "", m.group()))]
+        found += [("card", *span) for span in checked(text, CARD, CARDS, lambda x: luhn(_digits(x)), lambda x: bool(ISSUED.fullmatch(_digits(x))))]
         found += [("ssn", *m.span()) for m in SSN.finditer(text)]
-        found += [("iban", *m.span()) for m in IBAN.finditer(text) if iban(m.group())]
+        found += [("iban", *span) for span in checked(text, IBAN, IBANS, iban, lambda x: True)]
         found += [("phone", *m.span()) for m in PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m.group()) <= 15]
     for a, b in spelled:
         a, b = max(0, a - 1), min(len(text), b + 1)
