@@ -56,3 +56,12 @@ def test_awkward(awkward, make):
     assert quality.hosts(awkward.sparkSession.createDataFrame([], T.StructType([T.StructField("host", T.StringType()), T.StructField("strict", T.LongType())]))).count() == 0
     assert quality.keep(make((1, ""), (2, None))).count() == 0
     assert quality.keep(make((1, GOOD)), Limits(bad_rate=0.0)).count() == 1
+
+
+def test_blank_lines_are_no_lines(make):
+    """Paragraphs set apart by blank lines repeat nothing; repeated ones still do."""
+    words = ("river", "garden", "market", "winter", "letter", "kitchen", "mountain", "teacher", "window", "harbour")
+    for blank in ("\n\n", "\r\n\r\n", "\n \t\n\n\n"):
+        paragraphs = [f"This paragraph tells of the {w} and of nothing else." for w in words]
+        df = make((1, blank.join(paragraphs)), (2, blank.join(paragraphs[:4])), (3, blank.join([*paragraphs[:2]] * 4)))
+        assert {r.doc_id: r.lenient_failures for r in quality.report(df).collect()} == {1: 0, 2: 0}

@@ -82,7 +82,7 @@ def judged(df: DataFrame, limits: Limits, text_column: str, host_column: str) ->
     text, words, lines, counts, host, failures = fresh(df, "own_text", "own_words", "own_lines", "own_counts", "own_host", "own_failures")
     w = _quoted(words)
     out = df.withColumn(text, F.coalesce(F.col(_quoted(text_column)).cast("string"), F.lit("")))
-    out = out.withColumn(words, F.array_remove(F.split(text, BLANKS), "")).withColumn(lines, F.split(text, "\n"))
+    out = out.withColumn(words, F.array_remove(F.split(text, BLANKS), "")).withColumn(lines, F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\r\f]")))
     out = out.withColumn(
         counts,
         F.struct(
