@@ -65,3 +65,16 @@ def test_blank_lines_are_no_lines(make):
         paragraphs = [f"This paragraph tells of the {w} and of nothing else." for w in words]
         df = make((1, blank.join(paragraphs)), (2, blank.join(paragraphs[:4])), (3, blank.join([*paragraphs[:2]] * 4)))
         assert {r.doc_id: r.lenient_failures for r in quality.report(df).collect()} == {1: 0, 2: 0}
+
+
+def test_insults_are_whole_words_judged_by_length(make):
+    long_ = " ".join(f"word{i}" for i in range(20_000))
+    texts = [
+        "Clownfish live in anemones. The clownfish is orange and stays near its host.",
+        f"The idiot {long_} was called stupid.",
+        "Du Arschloch, du bist ein Trottel und bleibst es auch.",
+        "Eres un imbécil y un gilipollas, vete de aquí ahora mismo.",
+        "Espèce de connard, tu es un abruti fini et rien de plus.",
+        "Those losers are idiots and nobody should listen to them.",
+    ]
+    assert {r.doc_id: r.lenient_failures for r in quality.report(make(*enumerate(texts))).collect()} == {0: 0, 1: 0}

@@ -21,6 +21,14 @@ from tributary.llm.common import cut, fresh, load
 #: Beginnings of insulting words.
 INSULTS = ("idiot", "moron", "imbecile", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown", "dumbass", "bastard")
 INSULT = rf"(?i)(?:^|[^a-z])(?:{'|'.join(INSULTS)})"
+#: Insults as whole words, in English, German, French and Spanish; the oracle's SQL knows only the beginnings.
+INSULTING = (
+    *INSULTS, "idiotic", "idiocy", "moronic", "stupidity", "scumbag", "asshole", "arsehole", "bitch(?:es)?", "cunt", "dickhead", "shithead", "fuckwit", "wanker", "twat", "douchebag", "jackass(?:es)?", "dumbasses", "motherfucker", "halfwit", "dimwit", "cretin", "lowlife",
+    "idioten", "vollidiot(?:en)?", "trottel", "dummkopf", "schwachkopf", "arschloch", "arschlöcher", "wichser", "hurensohn", "schlampe", "missgeburt", "drecksack",
+    "connard", "connasse", "salaud", "salope", "abruti", "crétin", "enculé", "débile", "ordure", "imbécile",
+    "idiota", "imbécil(?:es)?", "estúpid[oa]", "gilipollas", "cabrón", "pendej[oa]", "puta", "maricón", "escoria", "payaso",
+)
+INSULTING_WORD = rf"(?iu)(?<!\p{{L}})(?:{'|'.join(INSULTING)})s?(?!\p{{L}})"
 SYMBOL, BLANKS, CAPITAL = r"[#*$%&|<>{}~^]", r"[ \t\n\r\f]+", r"\p{Lu}"
 
 
@@ -37,6 +45,9 @@ class Limits:
     repeated_lines: float = 0.4
     least_lines: int = 4
     insults: int = 2
+    #: Fewer insults a word don't count against a text.
+    insults_a_word: float = 0.002
+    lenient_insults_a_word: float = 0.001
     least_words: int = 5
     lenient_capitals: float = 0.2
     lenient_repeated_lines: float = 0.2
@@ -51,8 +62,11 @@ class Limits:
 LIMITS = Limits()
 
 
-def _failures(v: str, limits: Limits) -> tuple[str, str]:
-    """SQL of how many strict and lenient rules fail, over a prefix of the features; both dialects take it."""
+def _failures(v: str, limits: Limits, rated: bool = True) -> tuple[str, str]:
+    """SQL of how many strict and lenient rules fail, over a prefix of the features; both dialects take it.
+
+    The oracle's counts insults whatever the length of the text: not ``rated``.
+    """
     some = f"greatest({v}n_words, 1)"
     strict = (
         f"{v}n_words = 0",
@@ -61,13 +75,13 @@ def _failures(v: str, limits: Limits) -> tuple[str, str]:
         f"({v}n_words >= {limits.least_words} AND {v}n_capitals > {limits.capitals} * {v}n_chars)",
         f"({v}n_words >= {limits.least_words} AND {v}n_repeated > {limits.repeated_words} * {some})",
         f"({v}n_lines >= {limits.least_lines} AND {v}n_lines - {v}n_distinct_lines > {limits.repeated_lines} * {v}n_lines)",
-        f"{v}n_insults >= {limits.insults}",
+        f"({v}n_insults >= {limits.insults} AND {v}n_insults > {limits.insults_a_word} * {some})" if rated else f"{v}n_insults >= {limits.insults}",
     )
     lenient = (
         f"{v}n_words < {limits.least_words}",
         f"{v}n_capitals > {limits.lenient_capitals} * {v}n_chars",
         f"({v}n_lines >= {limits.least_lines} AND {v}n_lines - {v}n_distinct_lines > {limits.lenient_repeated_lines} * {v}n_lines)",
-        f"{v}n_insults >= 1",
+        f"({v}n_insults >= 1 AND {v}n_insults > {limits.lenient_insults_a_word} * {some})" if rated else f"{v}n_insults >= 1",
     )
     total = lambda rules: " + ".join(f"CASE WHEN {r} THEN 1 ELSE 0 END" for r in rules)
     return total(strict), total(lenient)
@@ -91,7 +105,7 @@ def judged(df: DataFrame, limits: Limits, text_column: str, host_column: str) ->
             F.regexp_count(F.col(text), F.lit(SYMBOL)).alias("n_symbols"),
             F.regexp_count(F.col(text), F.lit("!")).alias("n_shouts"),
             F.regexp_count(F.col(text), F.lit(CAPITAL)).alias("n_capitals"),
-            F.regexp_count(F.col(text), F.lit(INSULT)).alias("n_insults"),
+            F.regexp_count(F.col(text), F.lit(INSULTING_WORD)).alias("n_insults"),
             # One pass that holds no second reference to the words, which would be split again for each.
             F.expr(f"aggregate({w}, named_struct('last', cast(null AS string), 'n', 0), (a, x) -> named_struct('last', x, 'n', a.n + if(x <=> a.last, 1, 0)), a -> a.n)").alias("n_repeated"),
             F.size(lines).alias("n_lines"),
@@ -164,7 +178,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle(limits: Limits = LIMITS) -> str:
-    strict, lenient = _failures("", limits)
+    strict, lenient = _failures("", limits, rated=False)
     n = lambda pattern: f"len(regexp_extract_all(t, '{pattern}'))"
     return rf"""
 WITH texts AS (SELECT doc_id, coalesce(source, '') AS host, coalesce("text", '') AS t FROM documents),
