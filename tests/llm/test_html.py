@@ -19,6 +19,14 @@ def test_blocks():
         html.blocks(odd)
 
 
+def test_no_tag_takes_the_rest_of_the_page():
+    for odd in ('<svg-icon name="x"></svg-icon>', "<title-bar>", "<template-x>", "<svg viewBox='0 0 1 1'/>", "<svg/>", "<noscript>", "<object data=x>", "<template>", "<svg>"):
+        assert [b.text for b in html.blocks(f"{odd}<article><p>rest</p></article>")] == ["rest"], odd
+    for hidden in ("<svg><text>no</text></svg>", "<noscript>no</noscript>", "<object data=x>no</object>", "<template>no</template>", "<script>no", "<style>no"):
+        assert [b.text for b in html.blocks(f"<p>a</p>{hidden}")] == ["a"], hidden
+    assert [b.text for b in html.blocks("<p>a <svg/> b</p>")] == ["a b"]
+
+
 def test_labels():
     labels = {b.text: html.markup_label(b) for b in html.blocks('<article><p>a<aside>b</aside></article><div class="ad top">c</div><div class="shadow">d</div><main>e</main>')}
     assert labels == {"a": 1, "b": 0, "c": 0, "d": -1, "e": 1}

@@ -35,7 +35,7 @@ INPUT = PATH + WORDS + MEASURES
 SIDE = 256
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|([^<]+)|<",
+    r"<!--.*?(?:-->|\Z)|<(script|style|title|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<svg(?=[\s/>])[^>]*/>|<(noscript|template|svg|object)(?=[\s/>])[^>]*>.*?</\2\s*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|([^<]+)|<",
     re.S | re.I,
 )
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*[\"']?([^\"'>]+)", re.I)
@@ -71,7 +71,7 @@ def blocks(page: str) -> list[Block]:
         parts, linked, links = [], 0, 0
 
     for m in _TOKEN.finditer(page):
-        text, tag = m.group(5), m.group(3)
+        text, tag = m.group(6), m.group(4)
         if text is not None or (tag is None and m.group() == "<"):
             # Line ends in the source are spaces.
             piece = (text or "<").replace("\n", " ").replace("\r", " ")
@@ -80,7 +80,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(m.group(2))
+        tag, closing = tag.lower(), bool(m.group(3))
         if tag in _INLINE:
             if tag == "a":
                 links = max(0, links - 1) if closing else 1
@@ -109,8 +109,8 @@ def blocks(page: str) -> list[Block]:
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-        if tag not in _VOID and not m.group(4).endswith("/"):
-            stack.append((tag, " ".join(_MARK.findall(m.group(4)))))
+        if tag not in _VOID and not m.group(5).endswith("/"):
+            stack.append((tag, " ".join(_MARK.findall(m.group(5)))))
     flush()
     return out
 
