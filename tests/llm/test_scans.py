@@ -52,6 +52,26 @@ def test_secrets_by_force(documents):
         assert secrets.find(text) == by_force(text)
 
 
+def test_secrets_of_any_length_and_form():
+    import base64
+
+    jwt = "eyJhbGciOiJIUzI1NiIsImtpZCI6Ij" + "A" * 6 + "In0"
+    head = base64.urlsafe_b64encode(b'{"alg":"RS256","x5c":"' + b"A" * 6000 + b'"}').decode().rstrip("=")
+    long_ = f"{head}.eyJ{'Ab1' * 4000}.{'Zz9' * 1000}"
+    rows = base64.b64encode(bytes(range(256)) * 2).decode()
+    sealed = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n{rows}\n-----END RSA PRIVATE KEY-----"
+    der = base64.b64encode(b"\x30\x82\x02\x00" + bytes(range(256)) * 2).decode()
+    plain = f"-----BEGIN PRIVATE KEY-----\n{der}\n-----END PRIVATE KEY-----"
+    escaped = plain.replace("\n", "\\n")
+    for text, rule, want in (
+        ('password = "hunter2xK91q"', "assigned", "hunter2xK91q"), ("password: 'Tr0ub4dor&3xyzabcd9'", "assigned", "Tr0ub4dor&3xyzabcd9"),
+        ("SECRET_KEY=24be64439e3e49cf46b2d7c90f3602a3", "assigned", "24be64439e3e49cf46b2d7c90f3602a3"), ("token=" + "aB3dE5gH" * 100, "assigned", "aB3dE5gH" * 100),
+        (long_, "jwt", long_), (sealed, "encrypted-private-key", sealed), (plain, "private-key", plain), (f'{{"k": "{escaped}"}}', "private-key", escaped), ("sk_live_" + "aB3" * 50, "stripe", "sk_live_" + "aB3" * 50),
+    ):
+        assert [(r, text[a:b]) for r, a, b, *_ in secrets.find(text)] == [(rule, want)], (rule, text[:80])
+    assert not secrets.find('password = "changeme"') and not secrets.find(jwt)
+
+
 def test_secret_rows(awkward, make, documents):
     assert secrets.scan(awkward).count() == 0 and secrets.scan(awkward.limit(0)).count() == 0
     df = make((1, "a " + GOOD), (1, "a " + GOOD), (None, GOOD), (2, "é" * 100_000 + GOOD))

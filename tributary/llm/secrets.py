@@ -58,9 +58,24 @@ def jwt_header(secret: str) -> bool:
         return False
 
 
+def pem_body(secret: str) -> str:
+    """The Base64 of a PEM block without its headers; line breaks may be escaped."""
+    lines = re.split(r"[\r\n]+|(?:\\+[rn])+", secret.split("-----")[2])
+    return re.sub(r"\s+", "", "".join(x for x in lines if ":" not in x))
+
+
+def encrypted(secret: str) -> bool:
+    """The body is Base64 of whole cipher blocks."""
+    try:
+        raw = base64.b64decode(pem_body(secret), validate=True)
+    except binascii.Error:
+        return False
+    return len(raw) > 0 and len(raw) % 8 == 0
+
+
 def pem_length(secret: str) -> bool:
     """The body is Base64 whose outer DER length, or OpenSSH magic, fits it."""
-    body = re.sub(r"\s+", "", secret.split("-----")[2])
+    body = pem_body(secret)
     try:
         raw = base64.b64decode(body, validate=True)
     except binascii.Error:
@@ -93,20 +108,26 @@ class Rule:
 
 
 _END = r"(?![A-Za-z0-9_])"
-_NAMES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth_key", "private_key", "client_secret")
+_NAMES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth_key", "private_key", "client_secret", "secret_key")
+_VALUE = r"[A-Za-z0-9+/_=.-]{16,}+(?![A-Za-z0-9+/_=-])"
+_PEM, _PEM_END = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", r"-----END (?:[A-Z]+ )*PRIVATE KEY-----"
 _CASES = tuple(dict.fromkeys(c for n in _NAMES for c in (n, n.upper(), n.capitalize(), n.replace("_", "-"), n.split("_")[0] + "".join(p.capitalize() for p in n.split("_")[1:]))))
 RULES = (
     Rule("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}" + _END, crc_base62, True),
     Rule("npm", ("npm_",), r"npm_[A-Za-z0-9]{36}" + _END, crc_base62, True),
     Rule("extended-private-key", ("xprv",), rf"xprv[{BASE58}]{{107}}" + _END, base58_check, True),
-    Rule("private-key", ("-----BEGIN",), r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,20000}-----END (?:[A-Z]+ )?PRIVATE KEY-----", pem_length, True),
-    Rule("jwt", ("eyJ",), r"eyJ[A-Za-z0-9_-]{10,4000}\.eyJ[A-Za-z0-9_-]{10,8000}\.[A-Za-z0-9_-]{20,2000}", jwt_header, True),
+    Rule("private-key", ("-----BEGIN",), _PEM + r"(?:(?!-----)[\s\x20-\x7e]){40,}+" + _PEM_END, pem_length, True),
+    Rule("encrypted-private-key", ("-----BEGIN",), _PEM + r"(?:\s|\\[rn])*Proc-Type: ?4,ENCRYPTED(?:(?!-----)[\s\x20-\x7e]){40,}+" + _PEM_END, encrypted),
+    Rule("jwt", ("eyJ",), r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{20,}", jwt_header, True),
     Rule("aws-access-key", ("AKIA", "ASIA"), r"A[KS]IA[A-Z2-7]{16}" + _END),
     Rule("google-api-key", ("AIza",), r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"),
-    Rule("slack", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), r"xox[abprs]-[A-Za-z0-9-]{10,250}" + _END),
-    Rule("stripe", ("sk_live_", "rk_live_"), r"[rs]k_live_[A-Za-z0-9]{24,99}" + _END),
+    Rule("slack", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), r"xox[abprs]-[A-Za-z0-9-]{10,}" + _END),
+    Rule("stripe", ("sk_live_", "rk_live_"), r"[rs]k_live_[A-Za-z0-9]{24,}" + _END),
     Rule("gitlab", ("glpat-",), r"glpat-[A-Za-z0-9_-]{20}" + _END),
-    Rule("assigned", _CASES, rf"(?:{'|'.join(sorted(_CASES, key=len, reverse=True))})[\"']?\s{{0,4}}(?:=|:|=>)\s{{0,4}}[\"']?([A-Za-z0-9+/_=.-]{{16,512}})(?![A-Za-z0-9+/_=-])", mixed),
+    Rule(
+        "assigned", _CASES, rf"(?:{'|'.join(sorted(_CASES, key=len, reverse=True))})[\"']?\s{{0,4}}(?:=>|=|:)\s{{0,4}}"
+        rf"(?:\"(?=[^\"\r\n]{{8,}}\")|'(?=[^'\r\n]{{8,}}')|[\"']?(?={_VALUE}))((?<=\")[^\"\r\n]{{8,}}(?=\")|(?<=')[^'\r\n]{{8,}}(?=')|{_VALUE})", mixed,
+    ),
 )
 
 
