@@ -7,8 +7,10 @@ so that every leaf's make-up is that of an exact random deal. Draws are seeded
 by node, so a task works out its own shards by walking down from the root.
 
 A source's documents are put in a random order by hash; its blocks are runs of
-that order, hence ranges of the hash, found by exact ranks over ids alone. Texts
-then move once, to their shard, where they are shuffled.
+that order, hence ranges of the hash, found by exact ranks over ids alone. Where a
+cut falls between rows of one hash (repeated rows), it also says how many of them
+lie before it, and only there rows are numbered. Texts then move once, to their
+shard, where they are shuffled.
 """
 
 from __future__ import annotations
@@ -88,13 +90,14 @@ def mix(
     """The drawn rows with all columns of ``df``, their shard and place in it, ordered within partitions.
 
     Both new columns get a leading ``_`` where ``df`` has one of their name. A null
-    source is the source ''. Rows that agree in id and text share a place in the
-    order, so they are drawn together or not at all, beyond the quota if need be;
-    null ids and texts count as values. ``fill`` is that of :func:`quotas`. An empty table, or weights that are all
-    zero, give an empty one.
+    source is the source ''. Quotas are met exactly: of rows that agree in id and text
+    as many are drawn as fall before the cut, by the hash of their other columns;
+    null ids and texts count as values. ``fill`` is that of :func:`quotas`. Beyond
+    ``MOST_BLOCKS`` blocks, blocks hold more documents than ``block``. An empty table,
+    or weights that are all zero, give an empty one.
     """
     spark = df.sparkSession
-    source, h, cell, shard, position = fresh(df, "own_source", "own_hash", "own_cell", *manifest)
+    source, h, cell, copy, shard, position = fresh(df, "own_source", "own_hash", "own_cell", "own_copy", *manifest)
     keyed = df.withColumn(source, F.coalesce(F.col(_quoted(source_column)).cast("string"), F.lit("")))
     keyed = keyed.withColumn(h, F.xxhash64(F.lit(seed), F.col(_quoted(id_column)), F.col(_quoted(text_column))))
     keys = cut(spark, keyed.select(F.col(source).alias("source"), F.col(h).alias("h")), "mixing")
@@ -129,19 +132,35 @@ def mix(
     runs = keys.withColumn("run", run)
     before = runs.groupBy("source", "run").count()
     before = before.select("source", "run", F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("source", "run").orderBy("h")) - 1
-    ranked = runs.withColumn("within", within).join(before, ["source", "run"]).select("source", (F.col("before") + F.col("within")).alias("rank"), "h")
+    tied = Window.partitionBy("source", "run").orderBy("h")
+    within, first = F.row_number().over(tied) - 1, F.rank().over(tied) - 1
+    ranked = runs.withColumn("within", within).withColumn("copy", F.col("within") - first).join(before, ["source", "run"])
+    ranked = ranked.select("source", (F.col("before") + F.col("within")).alias("rank"), "h", "copy")
     cuts = points.join(ranked, ["source", "rank"], "left")
-    ranges = cuts.withColumn("to", F.lead("h").over(Window.partitionBy("source").orderBy("rank", F.col("shard").asc_nulls_last()))).filter("shard is not null and (to is null or to > h)")
-    top = F.coalesce(F.col("to") - 1, F.lit(2**63 - 1))
+    following = Window.partitionBy("source").orderBy("rank", F.col("shard").asc_nulls_last())
+    ranges = cuts.withColumn("to", F.lead("h").over(following)).withColumn("to_copy", F.lead("copy").over(following))
+    ranges = ranges.filter("shard is not null and (to is null or to > h or to_copy > copy)")
+    top = F.coalesce(F.when(F.col("to_copy") > 0, F.col("to")).otherwise(F.col("to") - 1), F.lit(2**63 - 1))
     ranges = ranges.withColumn("cell", F.explode(F.sequence(F.shiftright("h", 56), F.shiftright(top, 56))))
     # Written, so that their size is known: Spark broadcasts them if it allows, and else joins by source and cell.
-    ranges = ranges.select(F.col("source").alias(source), F.col("cell").alias(cell), F.col("h").alias("range_from"), F.col("to").alias("range_to"), F.col("shard").cast("int").alias("range_shard"))
-    low, high, target = fresh(keyed, "range_from", "range_to", "range_shard")
-    ranges = cut(spark, ranges.toDF(source, cell, low, high, target), "mixing-ranges")
+    columns = ("own_from", "own_from_copy", "own_to", "own_to_copy", "range_shard")
+    low, low_copy, high, high_copy, target = fresh(keyed.withColumns({cell: F.lit(0), copy: F.lit(0)}), *columns)
+    ranges = ranges.select("source", "cell", "h", "copy", "to", "to_copy", F.col("shard").cast("int")).toDF(source, cell, low, low_copy, high, high_copy, target)
+    ranges = cut(spark, ranges, "mixing-ranges")
+    # Hashes that a cut divides: only their rows need numbers.
+    divided = ranges.filter(F.col(low_copy) > 0).select(source, F.col(low).alias(h)).unionByName(ranges.filter(F.col(high_copy) > 0).select(source, F.col(high).alias(h))).distinct()
+    divided = cut(spark, divided, "mixing-divided")
+    if divided.isEmpty():
+        keyed = keyed.withColumn(copy, F.lit(0))
+    else:
+        others = [F.col(_quoted(f.name)) for f in df.schema if f.name not in (id_column, text_column) and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        number = F.row_number().over(Window.partitionBy(source, h).orderBy(F.xxhash64(F.lit(seed + 2), *others))) - 1
+        some = keyed.join(divided, [source, h], "left_semi").withColumn(copy, number)
+        keyed = keyed.join(divided, [source, h], "left_anti").withColumn(copy, F.lit(0)).unionByName(some)
     out = keyed.withColumn(cell, F.shiftright(h, 56)).join(ranges, [source, cell])
-    out = out.filter((F.col(h) >= F.col(low)) & (F.col(high).isNull() | (F.col(h) < F.col(high))))
-    order = Window.partitionBy(target).orderBy(F.xxhash64(F.lit(seed + 1), F.col(h)), h)
+    out = out.filter((F.col(h) > F.col(low)) | (F.col(h) == F.col(low)) & (F.col(copy) >= F.col(low_copy)))
+    out = out.filter(F.col(high).isNull() | (F.col(h) < F.col(high)) | (F.col(h) == F.col(high)) & (F.col(copy) < F.col(high_copy)))
+    order = Window.partitionBy(target).orderBy(F.xxhash64(F.lit(seed + 1), F.col(h)), h, copy)
     out = out.withColumn(position, F.row_number().over(order) - 1)
     return out.select(*(F.col(_quoted(c)) for c in df.columns), F.col(target).alias(shard), position)
 
