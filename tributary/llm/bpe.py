@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import batches, fresh, lists, load, ragged, slices, text_bytes
+from tributary.llm.common import batches, fresh, lists, load, map_texts, quoted, ragged, release, slices, text_bytes
 from tributary.llm.pretokens import span_hashes, word_starts
 
 #: Ranks of the 50k byte-level vocabulary; see the README beside it.
@@ -290,7 +291,8 @@ def encode(df: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id
     ``round_trip`` says whether decoding the tokens gives the text's bytes back.
     A null text gives nulls in all three, an empty one no tokens; a null id stays
     null, repeated rows give repeated rows, other columns are left out, an empty
-    table gives an empty one. A text of any length is encoded whole.
+    table gives an empty one. A column of the result that has the id column's name
+    gets a leading ``_``. A text of any length is encoded whole.
     """
     shipped = vocabulary_file(df.sparkSession, vocabulary)
 
@@ -301,9 +303,7 @@ def encode(df: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id
             null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens, pa.array(counts, pa.int64(), mask=null), pa.array(right, pa.bool_(), mask=null)], names=["id", "tokens", "n_tokens", "round_trip"])
 
-    kind = df.schema[id_column].dataType.simpleString()
-    out = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, tokens array<int>, n_tokens bigint, round_trip boolean")
-    return out.withColumnRenamed("id", id_column)
+    return map_texts(df, run, "tokens array<int>, n_tokens bigint, round_trip boolean", id_column, text_column)
 
 
 def decode(df: DataFrame, vocabulary: str = VOCABULARY, tokens_column: str = "tokens", to: str = "text") -> DataFrame:
@@ -316,23 +316,23 @@ def decode(df: DataFrame, vocabulary: str = VOCABULARY, tokens_column: str = "to
     shipped = vocabulary_file(df.sparkSession, vocabulary)
     (text,) = fresh(df, "decoded_text")
 
-    @F.pandas_udf("string")
-    def run(tokens):
-        import pandas as pd
-
-        own = parsed(shipped.value).tokens
-        return pd.Series([None if t is None else b"".join([own[i] for i in _checked(t, len(own))]).decode("utf-8", "replace") for t in tokens], dtype=object)
+    @F.arrow_udf("string")
+    def run(tokens: pa.Array) -> pa.Array:
+        own, ids = parsed(shipped.value), tokens.flatten()
+        if ids.null_count:
+            raise ValueError("an id is null")
+        counts = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        data, sizes = own.decode(ids.to_numpy(zero_copy_only=False).astype(np.int64), counts)
+        raw, ends = data.tobytes(), np.cumsum(sizes)
+        texts = [raw[e - n : e].decode("utf-8", "replace") for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+        out = pa.array(texts, pa.string(), mask=tokens.is_null().to_numpy(zero_copy_only=False))
+        release()
+        return out
 
-    out = df.withColumn(text, run(F.col(tokens_column)))
+    out = df.withColumn(text, run(F.col(quoted(tokens_column)).cast("array<bigint>")))
     return out.drop(to).withColumnRenamed(text, to) if to in df.columns else out.withColumnRenamed(text, to)
 
 
-def _checked(ids, size: int):
-    if any(i is None or not 0 <= i < size for i in ids):
-        raise ValueError("an id is outside the vocabulary")
-    return ids
-
-
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, with the round trip checked."""
     return encode(load(spark, sf_dir, "documents"))

@@ -6,11 +6,13 @@ import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 1 << 20
@@ -59,9 +61,18 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
                 at.getFileSystem(conf).delete(at, True)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that no column of ``df`` has, whatever its case."""
-    taken = {c.lower() for c in df.columns}
+    return apart(df.columns, *names)
+
+
+def apart(have: Iterable[str], *names: str) -> list[str]:
+    """The names, with a leading ``_`` where one is had already, whatever its case."""
+    taken = {c.lower() for c in have}
     out = []
     for name in names:
         while name.lower() in taken:
@@ -71,6 +82,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], columns: str, id_column: str, text_column: str) -> DataFrame:
+    """``run`` over ids and texts; its ``columns`` (DDL) follow the id's, with a leading ``_`` where one has the id column's name."""
+    own = df.select(F.col(quoted(id_column)).alias("id"), F.col(quoted(text_column)).cast("string").alias("text"))
+    fields = T.StructType.fromDDL(columns).fields
+    out = own.mapInArrow(run, T.StructType([own.schema["id"], *fields]))
+    return out.toDF(id_column, *apart([id_column], *(f.name for f in fields)))
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows end to end, offsets of the rows, and which rows are null."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import load
-from tributary.llm.quality import _quoted
+from tributary.llm.common import load, map_texts
+from tributary.llm.common import quoted as _quoted
 
 #: At most so many pages train the labeller, so many times over; fewer pages, more often.
 TRAINING_PAGES, EPOCHS, LEAST_STEPS, SEED = 400, 4, 120, 7
@@ -306,8 +306,10 @@ def extract(df: DataFrame, pages: int = TRAINING_PAGES, id_column: str = "page_i
 
     Null markup gives a null text and counts, markup without text an empty text and
     0. A null id stays null, repeated rows are repeated, other columns are left out,
-    an empty table gives an empty one. If no page's markup labels blocks to learn
-    from, all blocks are content. Pages are read and labelled whole.
+    an empty table gives an empty one. A column of the result that has the id column's
+    name gets a leading ``_``. If no page's markup labels blocks to learn from, all
+    blocks are content; one whose probability is just a half isn't. Pages are read and
+    labelled whole.
     """
     spark = df.sparkSession
     shipped = spark.sparkContext.broadcast(train([blocks(h) for h in sample(df, id_column, html_column, pages)]))
@@ -327,9 +329,7 @@ def extract(df: DataFrame, pages: int = TRAINING_PAGES, id_column: str = "page_i
                 content = [None if b is None else int(k.sum()) for b, k in zip(found, kept, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(content, pa.int32())], names=["id", "text", "n_blocks", "n_content"])
 
-    kind = df.schema[id_column].dataType.simpleString()
-    out = df.select(F.col(_quoted(id_column)).alias("id"), F.col(_quoted(html_column)).cast("string").alias("html")).mapInArrow(run, f"id {kind}, text string, n_blocks int, n_content int")
-    return out.withColumnRenamed("id", id_column)
+    return map_texts(df, run, "text string, n_blocks int, n_content int", id_column, html_column)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

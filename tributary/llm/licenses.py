@@ -17,9 +17,8 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tributary.llm.common import batches, load
+from tributary.llm.common import batches, load, map_texts
 
 #: One edit is allowed for so many characters of a notice.
 CHARACTERS_AN_EDIT = 12
@@ -144,8 +143,9 @@ def scan(df: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, characte
     """A row for each notice found: id, license, ``[start, end)`` in characters, edits and their kinds.
 
     Null and empty texts give no rows, a null id stays null, repeated rows give
-    their findings again, other columns are left out. Case is ignored, and where
-    folding a letter would change the text's length the letter stays as it is.
+    their findings again, an empty table gives an empty one. Other columns are left
+    out; one that has the id column's name gets a leading ``_``. Case is ignored, and
+    where folding a letter would change the text's length the letter stays as it is.
     Texts are searched whole.
     """
 
@@ -160,9 +160,7 @@ def scan(df: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, characte
             columns = [pa.array(parts[0], pa.string()), *(pa.array(p, pa.int32()) for p in parts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=["id", "license", "start", "end", "edits", "substitutions", "insertions", "deletions"])
 
-    kind = df.schema[id_column].dataType.simpleString()
-    out = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, license string, start int, end int, edits int, substitutions int, insertions int, deletions int")
-    return out.withColumnRenamed("id", id_column)
+    return map_texts(df, run, "license string, start int, end int, edits int, substitutions int, insertions int, deletions int", id_column, text_column)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.common import cut, fresh, load
-from tributary.llm.quality import _quoted
+from tributary.llm.common import quoted as _quoted
 
 #: Target weights are document counts to this power, where none are given.
 POWER = 0.5

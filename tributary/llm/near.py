@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm.common import batches, cut, discard, fresh, load, slices, text_bytes
 from tributary.llm.components import components
-from tributary.llm.quality import _quoted
+from tributary.llm.common import quoted as _quoted
 from tributary.llm.shingles import mix64, shingles
 
 

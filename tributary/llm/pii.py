@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import batches, load, release
-from tributary.llm.quality import _quoted
+from tributary.llm.common import batches, load, map_texts, release
+from tributary.llm.common import quoted as _quoted
 
 _LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТХУІЈЅοαρνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧıɑɡ", "aeopcyxijshdqwABEKMHOPCTXYIJSoapvikABEZHIKMNOPTYXiag", strict=True))
 _INVISIBLE = "­͏᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
@@ -49,7 +49,7 @@ _SIGNS = re.compile(
 )
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w@])")
+EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}(?![\w@])")
 IPV4 = re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)", re.A)
 CARD = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)", re.A)
 SSN = re.compile(r"(?<![\w-])(?!000|666|9\d\d)\d{3}[- ](?!00)\d{2}[- ](?!0000)\d{4}(?![\w-])", re.A)
@@ -267,9 +267,10 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
     """A row for each identifier: id, kind, ``[start, end)`` in characters of the source, whether it was disguised, SHA-256 of its normal form.
 
     The identifier itself is not returned. Null and empty texts give no rows, a
-    null id stays null, repeated rows give their findings again, other columns are
-    left out. Of overlapping finds the first stays, of those that start together
-    the longest. Texts are searched whole.
+    null id stays null, repeated rows give their findings again, an empty table gives
+    an empty one. Other columns are left out; one of the result that has the id
+    column's name gets a leading ``_``. Of overlapping finds the first stays, of those
+    that start together the longest. Texts are searched whole.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,13 +284,16 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(p, k) for p, k in zip(parts, kinds, strict=True))], names=["id", "kind", "start", "end", "disguised", "sha256"])
 
-    kind = df.schema[id_column].dataType.simpleString()
-    out = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, kind string, start int, end int, disguised boolean, sha256 string")
-    return out.withColumnRenamed("id", id_column)
+    return map_texts(df, run, "kind string, start int, end int, disguised boolean, sha256 string", id_column, text_column)
 
 
 def redact(df: DataFrame, text_column: str = "text") -> DataFrame:
-    """``df`` with identifiers in the text replaced by their kinds; null and empty texts stay, as do all rows and other columns."""
+    """``df`` with identifiers in the text replaced by their kinds.
+
+    Null and empty texts stay, as do all rows, repeated ones too, and other columns,
+    whatever their names; an empty table gives an empty one. Of overlapping finds the
+    first is replaced, of those that start together the longest. Texts are read whole.
+    """
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.common import cut, fresh, load
+from tributary.llm.common import quoted as _quoted
 
 #: Beginnings of insulting words.
 INSULTS = ("idiot", "moron", "imbecile", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown", "dumbass", "bastard")
@@ -87,10 +88,6 @@ def _failures(v: str, limits: Limits, rated: bool = True) -> tuple[str, str]:
     return total(strict), total(lenient)
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def judged(df: DataFrame, limits: Limits, text_column: str, host_column: str) -> tuple[DataFrame, str, str]:
     """``df`` with a host column (null is the host '') and a struct of the rule failures; their names."""
     text, words, lines, counts, host, failures = fresh(df, "own_text", "own_words", "own_lines", "own_counts", "own_host", "own_failures")
@@ -166,7 +163,7 @@ def report(df: DataFrame, limits: Limits = LIMITS, id_column: str = "doc_id", te
     The failures of each document, without its text, are written to the shared
     folder, so that texts are read once.
     """
-    own, host, failures = judged(df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(host_column).alias("source")), limits, "text", "source")
+    own, host, failures = judged(df.select(F.col(_quoted(id_column)).alias("doc_id"), F.col(_quoted(text_column)).alias("text"), F.col(_quoted(host_column)).alias("source")), limits, "text", "source")
     own = cut(df.sparkSession, own.select("doc_id", F.col(host).alias("host"), f"{failures}.*"), "quality")
     out = own.join(cut(df.sparkSession, hosts(own, limits), "hosts"), "host").filter(_stays(F.col("strict"), F.col("lenient"), F.col("bad")))
     return out.select("doc_id", "host", "n_words", F.col("lenient").alias("lenient_failures"), F.col("docs").alias("host_docs"), F.col("failed").alias("host_failed"), F.round("rate", 6).alias("host_rate"), F.col("bad").alias("host_bad"))

@@ -22,9 +22,8 @@ from dataclasses import dataclass
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tributary.llm.common import batches, load
+from tributary.llm.common import batches, load, map_texts
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -167,9 +166,10 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
     """A row for each secret: id, rule, ``[start, end)`` in characters, ``checksum`` (whether an embedded one was checked and held) and the secret's SHA-256.
 
     The secret itself is not returned. Null and empty texts give no rows, a null
-    id stays null, repeated rows give their findings again, other columns are left
-    out. Overlapping finds of different rules are all reported; of one rule, the
-    first. Every text is scanned whole.
+    id stays null, repeated rows give their findings again, an empty table gives an
+    empty one. Other columns are left out; one of the result that has the id column's
+    name gets a leading ``_``. Overlapping finds of different rules are all reported;
+    of one rule, the first. Every text is scanned whole.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +183,7 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(p, k) for p, k in zip(parts, kinds, strict=True))], names=["id", "rule", "start", "end", "checksum", "sha256"])
 
-    kind = df.schema[id_column].dataType.simpleString()
-    out = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, rule string, start int, end int, checksum boolean, sha256 string")
-    return out.withColumnRenamed("id", id_column)
+    return map_texts(df, run, "rule string, start int, end int, checksum boolean, sha256 string", id_column, text_column)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

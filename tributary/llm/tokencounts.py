@@ -24,10 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tributary.llm.bpe import VOCABULARY, Vocabulary, parsed, vocabulary_file
-from tributary.llm.common import batches, load, slices, text_bytes
+from tributary.llm.common import batches, load, map_texts, slices, text_bytes
 from tributary.llm.pretokens import EDGE, LETTER, NUMBER, OTHER, SPACE, classes, code_points
 
 #: Characters of a chunk; states after which a worker starts its automaton anew.
@@ -255,7 +254,8 @@ def count(df: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id"
 
     A null text has a null count, an empty one 0; a null id stays null, repeated
     rows are counted again, other columns are left out, an empty table gives an
-    empty one. A text of any length is read whole.
+    empty one. ``n_tokens`` gets a leading ``_`` where the id column has that name. A
+    text of any length is read whole.
     """
     shipped = vocabulary_file(df.sparkSession, vocabulary)
 
@@ -268,9 +268,7 @@ def count(df: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id"
                 parts.append(machine.counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts), pa.int64(), mask=null)], names=["id", "n_tokens"])
 
-    kind = df.schema[id_column].dataType.simpleString()
-    out = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint")
-    return out.withColumnRenamed("id", id_column)
+    return map_texts(df, run, "n_tokens bigint", id_column, text_column)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
