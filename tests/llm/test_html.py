@@ -82,3 +82,49 @@ def test_extract(spark, sf):
     got = sorted(str((r.page_id, r.text and r.text[:5], r.n_blocks, r.n_content)) for r in html.extract(odd).collect())
     assert got == sorted(map(str, [(1, None, None, None), (1, None, None, None), (2, "", 0, 0), (None, "a", 1, 1), (3, "long ", 1, 1), (4, "x", 1, 1)]))
     assert html.extract(odd.limit(0)).count() == 0
+
+
+def test_markup_takes_time_in_proportion():
+    """A megabyte of tags without an end, quotes without an end, and open tags."""
+    import time
+
+    odd = {
+        "<a ": "<a " * 333_000, "quotes": '<a "x' * 200_000, "<div>": "<div>x" * 170_000, "skipped": "<noscript>" * 100_000, "one >": '<svg "' * 160_000 + ">", "end tags": "<div>" * 100_000 + "</p></x>" * 60_000,
+        "items": "<ul>" + "<div>" * 80_000 + "<li></li>" * 80_000, "comments": "<!--" * 250_000, "ends": "</" * 500_000, "mixed quotes": "<a '" * 100_000 + '"' + '<b "' * 100_000,
+    }
+    for name, page in odd.items():
+        began = time.process_time()
+        found = html.blocks(page)
+        [html.markup_label(b) for b in found]
+        assert time.process_time() - began < 4, name
+        assert len(found) == {"<div>": 170_000, "<a ": 1, "quotes": 1, "mixed quotes": 1, "ends": 1}.get(name, 0), name
+    assert html.blocks("&#" + "9" * 5000 + "; &#" + "0" * 5000 + "65;")[0].text == "� A"
+
+
+def test_network_by_force(pages):
+    """Every block's probability worked out one block, one gate and one number at a time."""
+    import math
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+    def states(w, c, rows):
+        n = html.HIDDEN
+        h, cell, out = [0.0] * n, [0.0] * n, []
+        w, c = w.tolist(), c.tolist()
+        for row in rows:
+            fed = [(i, v) for i, v in enumerate([*row, *h]) if v]
+            gates = [c[j] + sum(v * w[i][j] for i, v in fed) for j in range(4 * n)]
+            cell = [sigmoid(gates[n + j]) * cell[j] + sigmoid(gates[j]) * math.tanh(gates[3 * n + j]) for j in range(n)]
+            h = [sigmoid(gates[2 * n + j]) * math.tanh(cell[j]) for j in range(n)]
+            out.append(h)
+        return out
+
+    found = [html.blocks(p) for p in pages[:60]]
+    weights = html.train(found[:40])
+    some = sorted((html.vectors(b) for b in found if b), key=len)[:: max(1, len(found) // 5)]
+    for x, got in zip(some, html.scores(weights, some), strict=True):
+        forth, back = states(weights["wf"], weights["cf"], x.tolist()), states(weights["wb"], weights["cb"], x[::-1].tolist())[::-1]
+        v, o = weights["v"].tolist(), float(weights["o"][0])
+        want = [sigmoid(o + sum(a * b for a, b in zip([*f, *b_], v, strict=True))) for f, b_ in zip(forth, back, strict=True)]
+        assert np.allclose(got, want, atol=1e-4)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,10 +35,12 @@ INPUT = PATH + WORDS + MEASURES
 #: Pages that are labelled side by side.
 SIDE = 256
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<svg(?=[\s/>])[^>]*/>|<(noscript|template|svg|object)(?=[\s/>])[^>]*>.*?</\2\s*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|([^<]+)|<",
-    re.S | re.I,
-)
+_NAME = re.compile(r"(/?)([a-z][a-z0-9:-]*)", re.I)
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
+_STOPS = re.compile(r"[>\"']")
+#: Elements whose content is no text: those that run to the end of the page where they aren't closed, and those that then count as tags.
+_RAW, _SKIPPED = frozenset(("script", "style", "title", "iframe")), frozenset(("noscript", "template", "svg", "object"))
+_END_TAG = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*_RAW, *_SKIPPED)}
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*[\"']?([^\"'>]+)", re.I)
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,16 +51,126 @@ _BAD_MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sidebar|menu|nav\w*|foote
 _TEXT = re.compile(r"\w+")
 
 
+class Node:
+    """An open tag, with the tags around it."""
+
+    __slots__ = ("parent", "tag", "mark", "depth", "label")
+
+    def __init__(self, parent: Node | None, tag: str, mark: str):
+        self.parent, self.tag, self.mark = parent, tag, mark
+        self.depth: int = 1 + (parent.depth if parent else 0)
+        self.label: int | None = None
+
+
 @dataclass
 class Block:
-    path: tuple[tuple[str, str], ...]
+    #: The innermost open tag; None outside all tags.
+    node: Node | None
     text: str
     linked: int
 
+    @property
+    def depth(self) -> int:
+        return self.node.depth if self.node else 0
+
+    @property
+    def path(self) -> tuple[tuple[str, str], ...]:
+        """(tag, class, id and role) from the outermost tag in."""
+        out, node = [], self.node
+        while node:
+            out.append((node.tag, node.mark))
+            node = node.parent
+        return tuple(reversed(out))
+
+
+def tokens(page: str) -> Iterator[tuple[str | None, bool, str]]:
+    """(tag in lower case, whether it closes, its attributes), or (None, False, text), in one pass.
+
+    Nothing is looked for twice: where the next ``>`` is, which end tags there are
+    none of, and, after one tag that an open quote leaves without an end, where every
+    later tag ends.
+    """
+    at, size, last = 0, len(page), page.rfind(">")
+    gt, missing = -1, set()
+    ends: tuple[list[int], list[int]] | None = None
+
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = size
+        if lt > at:
+            yield None, False, page[at:lt]
+            at = lt
+            continue
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            at = size if close < 0 else close + 3
+            continue
+        if gt < at:
+            gt = page.find(">", at) if at < last + 1 else -1
+            gt = size if gt < 0 else gt
+        m = _NAME.match(page, at + 1) if gt < size else None
+        if m is None:
+            if gt < size and page[at + 1] in "!?/":
+                at = gt + 1
+            else:
+                yield None, False, "<"
+                at += 1
+            continue
+        closing, tag, after = bool(m.group(1)), m.group(2).lower(), m.end()
+        if not closing and tag in _END_TAG and (page[after] in "/>" or page[after].isspace()):
+            if tag == "svg" and page[gt - 1] == "/" and gt - 1 >= after:
+                at = gt + 1
+                continue
+            end = None if tag in missing else _END_TAG[tag].search(page, gt + 1)
+            if end is not None or tag in _RAW:
+                at = end.end() if end else size
+                continue
+            missing.add(tag)
+        if ends is None and (found := _ATTRIBUTES.match(page, after)):
+            close = found.end() - 1
+        else:
+            ends = ends or _ends(page)
+            place = bisect_left(ends[0], after)
+            close = ends[1][place] if place < len(ends[0]) else -1
+        if close < 0:
+            if closing:  # as any other "</": up to the next ">"
+                at = gt + 1
+            else:
+                yield None, False, "<"
+                at += 1
+            continue
+        yield tag, closing, page[after:close]
+        at = close + 1
+
+
+def _ends(page: str) -> tuple[list[int], list[int]]:
+    """Places of all ``>`` and quotes, and for each where a tag ends whose attributes go on there; -1 if nowhere."""
+    places = [m.start() for m in _STOPS.finditer(page)]
+    out, following = [-1] * len(places), {'"': len(places), "'": len(places)}
+    for i in range(len(places) - 1, -1, -1):
+        c = page[places[i]]
+        if c == ">":
+            out[i] = places[i]
+        else:
+            other = following[c] + 1
+            out[i] = out[other] if other < len(places) else -1
+            following[c] = i
+    return places, out
+
+
+def _unescaped(text: str) -> str:
+    if "&#" in text:  # numbers that Python doesn't read, since they are so long, are no characters
+        text = re.sub(r"&#0+(?=\d)", "&#", text)
+        text = re.sub(r"&#\d{8,};?", "\ufffd", text)
+    return entities.unescape(text)
+
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; markup may be broken, unclosed or missing."""
-    stack: list[tuple[str, str]] = []
+    """The leaf blocks of a page in order; markup may be broken, unclosed or missing. Time is in proportion to the page's length."""
+    stack: list[Node] = []
+    #: Where in the stack each tag is open.
+    opened: dict[str, list[int]] = {}
     out: list[Block] = []
     parts: list[str] = []
     linked = links = 0
@@ -65,22 +178,22 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal parts, linked, links
         if parts:
-            lines = (" ".join(line.split()) for line in entities.unescape("".join(parts)).split("\n"))
+            lines = (" ".join(line.split()) for line in _unescaped("".join(parts)).split("\n"))
             if text := "\n".join(line for line in lines if line):
-                out.append(Block(tuple(stack), text, min(linked, len(text))))
+                out.append(Block(stack[-1] if stack else None, text, min(linked, len(text))))
         parts, linked, links = [], 0, 0
 
-    for m in _TOKEN.finditer(page):
-        text, tag = m.group(6), m.group(4)
-        if text is not None or (tag is None and m.group() == "<"):
+    def close(place: int) -> None:
+        while len(stack) > place:
+            opened[stack.pop().tag].pop()
+
+    for tag, closing, rest in tokens(page):
+        if tag is None:
             # Line ends in the source are spaces.
-            piece = (text or "<").replace("\n", " ").replace("\r", " ")
+            piece = rest.replace("\n", " ").replace("\r", " ")
             parts.append(piece)
             linked += len(piece.strip()) if links else 0
             continue
-        if tag is None:
-            continue
-        tag, closing = tag.lower(), bool(m.group(3))
         if tag in _INLINE:
             if tag == "a":
                 links = max(0, links - 1) if closing else 1
@@ -88,38 +201,40 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             parts.append("\n")
             continue
-        if tag in ("img", "input", "embed") or (tag in _VOID and tag != "hr"):
+        if tag in _VOID and tag != "hr":
             continue
         flush()
+        same = opened.get(tag)
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if same:
+                close(same[-1])
             continue
-        if tag in _CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-        if tag in _CLOSES_SELF:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _CLOSES_SELF[tag]:
-                    break
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        if tag not in _VOID and not m.group(5).endswith("/"):
-            stack.append((tag, " ".join(_MARK.findall(m.group(5)))))
+        if tag in _CLOSES_P and opened.get("p"):
+            close(opened["p"][-1])
+        if same and tag in _CLOSES_SELF and all(same[-1] > places[-1] for c in _CLOSES_SELF[tag] if (places := opened.get(c))):
+            close(same[-1])
+        if tag not in _VOID and not rest.endswith("/"):
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append(Node(stack[-1] if stack else None, tag, " ".join(_MARK.findall(rest))))
     flush()
     return out
 
 
 def markup_label(block: Block) -> int:
     """1 content, 0 not, -1 unsaid: what the page's own markup says."""
-    if any(tag in _BAD or (mark and _BAD_MARK.search(mark)) for tag, mark in block.path):
-        return 0
-    return 1 if any(tag in _GOOD for tag, _ in block.path) else -1
+    around, node = [], block.node
+    while node and node.label is None:
+        around.append(node)
+        node = node.parent
+    label = node.label if node else -1
+    for node in reversed(around):
+        if label != 0:
+            if node.tag in _BAD or (node.mark and _BAD_MARK.search(node.mark)):
+                label = 0
+            elif node.tag in _GOOD:
+                label = 1
+        node.label = label
+    return label
 
 
 def _bucket(text: str, size: int) -> int:
@@ -130,8 +245,9 @@ def vectors(page: list[Block], hidden: bool = False) -> np.ndarray:
     """A row of path, word and measure features for each block; ``hidden`` covers up what labels it."""
     out = np.zeros((len(page), INPUT), np.float32)
     for i, block in enumerate(page):
-        weight = 1.0
-        for tag, mark in reversed(block.path):
+        weight, node = 1.0, block.node
+        while node:
+            tag, mark, node = node.tag, node.mark, node.parent
             if hidden and (tag in _GOOD or tag in _BAD or mark):
                 tag, mark = "div", ""
             out[i, _bucket(tag, PATH)] += weight
@@ -146,7 +262,7 @@ def vectors(page: list[Block], hidden: bool = False) -> np.ndarray:
             counts = np.bincount(hashed, minlength=WORDS)
             out[i, PATH : PATH + WORDS] = counts / np.sqrt((counts * counts).sum())
         size = len(block.text)
-        out[i, PATH + WORDS :] = (np.log1p(len(words)) / 4, block.linked / size, sum(block.text.count(c) for c in ".,;:!?") / (1 + len(words)), i / len(page), (len(page) - 1 - i) / len(page), len(block.path) / 8)
+        out[i, PATH + WORDS :] = (np.log1p(len(words)) / 4, block.linked / size, sum(block.text.count(c) for c in ".,;:!?") / (1 + len(words)), i / len(page), (len(page) - 1 - i) / len(page), block.depth / 8)
     return out
 
 
