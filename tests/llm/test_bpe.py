@@ -96,3 +96,44 @@ def test_automaton_can_start_anew(raw, public, monkeypatch):
     for texts in itertools.batched(ODD, 4):
         data, offsets, _ = text_bytes(pa.array(list(texts)))
         assert machine.counts(data, offsets).tolist() == [len(public.encode_ordinary(t)) for t in texts]
+
+
+def test_state_maps_compose(raw, public, monkeypatch):
+    """Texts of one class, in whose chunks nothing fixes the state: letters, ideographs, repeats, white space, digits."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80_000)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(40_000)), "a" * 30_001, "ab" * 9000, " " * 7000 + "x", " \n" * 4000 + "x", "".join(rng.choices("0123456789", k=9000)), "=" * 9000 + "x" * 500, "aab" * 700 + " " + "ba" * 900]
+    want = [len(public.encode_ordinary(t)) for t in texts]
+    for rounds, chunk in ((6, 128), (1, 128), (0, 50), (6, 5)):
+        monkeypatch.setattr(tokencounts, "ROUNDS", rounds)
+        machine = tokencounts.Transducer(bpe.parsed(raw))
+        some = texts if chunk == 128 else [t[-6000:] for t in texts]
+        data, offsets, _ = text_bytes(pa.array(some))
+        assert machine.counts(data, offsets, chunk).tolist() == (want if chunk == 128 else [len(public.encode_ordinary(t)) for t in some])
+        began = time.process_time()
+        machine.counts(data, offsets, chunk)
+        assert chunk < 128 or rounds < 6 or time.process_time() - began < 2
+
+
+def test_pairs_agree_as_merging_says(raw):
+    """The quick test of two tokens against merging their bytes."""
+    rng = np.random.default_rng(2)
+    own = bpe.parsed(raw)
+    machine, n = tokencounts.Transducer(own), len(own.tokens)
+    for a, b in rng.integers(0, n, (4000, 2)).tolist():
+        word = own.tokens[a] + own.tokens[b]
+        k = int(rng.integers(0, len(word)))
+        pairs = [(a, b)] + ([(own.ranks[word[:k]], own.ranks[word[k:]])] if word[:k] in own.ranks and word[k:] in own.ranks else [])
+        for x, y in pairs:
+            assert machine._agrees(x, y) == machine._agrees_whole(x, y)
+
+
+def test_compiled_states_are_taken_over(raw, public):
+    machine = tokencounts.Transducer(bpe.parsed(raw))
+    data, offsets, _ = text_bytes(pa.array(ODD))
+    want = machine.counts(data, offsets).tolist()
+    other = tokencounts.compiled(raw, machine.dump())
+    made = len(other.states)
+    assert other.counts(data, offsets).tolist() == want and len(other.states) == made == len(machine.states)

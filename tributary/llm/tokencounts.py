@@ -5,36 +5,45 @@ transitions carry how many tokens more (or fewer) the text so far has with the
 character that is read. A state holds the open word's class and, for the longest
 end of the word that can begin a token, the last token and relative count of each
 prefix: the last token of a longer prefix is the one that agrees with the last
-token before it, so that much decides all to come. States are made on first use,
-as lazy automata make theirs, and kept by the worker process.
+token before it, so that much decides all to come. Last tokens that agree with
+the same of the tokens still possible are one. The driver compiles what a bounded
+sample of texts needs and sends it out; workers make further states on first use.
 
 A text is read in chunks, all at once. A chunk's state map is constant from its
 first reset on (a character of another class closes the open word, but after white
-space and apostrophes, whose words depend on more), and its front part is a function
-of the state it is entered in. A prefix scan composes
-the maps: the last constant one before a chunk gives its entry state. Summed over
-chunks, the transitions' counts are the documents' token counts.
+space and apostrophes, whose words depend on more). Of chunks without a reset, the
+maps are worked out for the states that occur: every chunk is entered in a guessed
+state, and what one leaves in, the next is entered in, until the maps lead into one
+another; then a prefix scan composes them, in as many steps as the logarithm of
+their number, from the last chunk whose map is constant. Summed over chunks, the
+transitions' counts are the documents' token counts.
 """
 
 from __future__ import annotations
 
 import functools
+import marshal
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tributary.llm.bpe import VOCABULARY, Vocabulary, parsed, vocabulary_file
-from tributary.llm.common import batches, load, map_texts, slices, text_bytes
+from tributary.llm.common import batches, load, map_texts, quoted, slices, text_bytes
 from tributary.llm.pretokens import EDGE, LETTER, NUMBER, OTHER, SPACE, classes, code_points
 
 #: Characters of a chunk; states after which a worker starts its automaton anew.
-CHUNK, MOST_STATES = 256, 250_000
+CHUNK, MOST_STATES = 128, 250_000
+#: Fronts of more tokens than these keep tokens before them apart.
+FEW = 24
+#: Texts, and characters of each, that the driver compiles states from; and rounds in which guessed states are followed from chunk to chunk. Counts don't depend on them.
+SAMPLE_ROWS, SAMPLE_CHARACTERS, ROUNDS = 2000, 2000, 6
 END = 0x110000
 START, WORD, DIGITS, MARKS, BLANK, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(9)
 _OPENS = {LETTER: WORD, NUMBER: DIGITS, OTHER: MARKS, SPACE: BLANK}
-_NOTHING = (b"", (-1,), (0,))
+_NOTHING, NEVER = (b"", (-1,), (0,)), -2
 
 
 class Transducer:
@@ -42,8 +51,25 @@ class Transducer:
 
     def __init__(self, vocabulary: Vocabulary):
         self.ranks, self.tokens, self.long_word = vocabulary.ranks, vocabulary.tokens, vocabulary.long_word
-        self.fronts = {t[:i] for t in self.tokens for i in range(1, len(t) + 1)}
-        self.agree: dict[tuple[int, int], bool] = {}
+        #: Tokens that begin with, and are longer than, each of their fronts.
+        self.longer: dict[bytes, list[int]] = {}
+        for token, data in enumerate(self.tokens):
+            for i in range(1, len(data)):
+                self.longer.setdefault(data[:i], []).append(token)
+        #: What windows and tokens before them come down to.
+        self.alike: dict[tuple[bytes, tuple], tuple] = {}
+        self.likes: dict[tuple[bytes, int], int] = {}
+        self.kinds: dict[tuple[bytes, int], int] = {}
+        self.merged: dict[tuple[int, int], int] = {}
+        self.left, self.right = [-1] * len(self.tokens), [-1] * len(self.tokens)
+        self.agrees = self._agrees_whole if vocabulary.whole else self._agrees
+        for token in [] if vocabulary.whole else sorted(self.ranks.values()):
+            data = self.tokens[token]
+            for i in range(1, len(data)):
+                a, b = self.ranks.get(data[:i]), self.ranks.get(data[i:])
+                if a is not None and b is not None and a < token and b < token and self._agrees(a, b):
+                    self.left[token], self.right[token], self.merged[a, b] = a, b, token
+                    break
         self.kind = classes()
         self.clear()
 
@@ -69,32 +95,71 @@ class Transducer:
     # -- the words --
 
     def _agrees(self, before: int, token: int) -> bool:
-        """Whether BPE leaves these two tokens as they are, side by side."""
-        if before < 0:
-            return True
-        key = (before, token)
-        got = self.agree.get(key)
-        if got is None:
-            got = self.agree[key] = self.long_word(self.tokens[before] + self.tokens[token]) == [before, token]
-        return got
+        """Whether BPE leaves these two tokens as they are, side by side.
+
+        Their merges are undone from the last one on: no pair that was ever side by
+        side may merge before the merges that part it.
+        """
+        merged, left, right, limit = self.merged, self.left, self.right, len(self.tokens)
+        while merged.get((before, token), limit) >= limit:
+            if before > token:
+                limit = before
+                if (part := right[before]) >= 0:
+                    before = part
+                    continue
+                limit = token + 1
+                if (part := left[token]) < 0:
+                    return True
+                token = part
+            else:
+                limit = token + 1
+                if (part := left[token]) >= 0:
+                    token = part
+                    continue
+                limit = before
+                if (part := right[before]) < 0:
+                    return True
+                before = part
+        return False
+
+    def _agrees_whole(self, before: int, token: int) -> bool:
+        """The same by merging the bytes, for vocabularies with tokens that merging alone doesn't give."""
+        return self.long_word(self.tokens[before] + self.tokens[token]) == [before, token]
 
     def _read(self, word: tuple, data: bytes) -> tuple[tuple, int]:
         """A word's window after more bytes, and by how much its count grows."""
         end, last, count = word
-        grown = 0
+        get, longer, agrees, alike, grown = self.ranks.get, self.longer, self.agrees, self.alike, 0
         for i in range(len(data)):
             end = end + data[i : i + 1]
             for k in range(len(end)):
-                token = self.ranks.get(end[k:])
-                if token is not None and self._agrees(last[k], token):
+                token = get(end[k:])
+                if token is not None and ((before := last[k]) < 0 or agrees(before, token)):
                     break
             else:
                 raise ValueError("the vocabulary lacks single bytes")
             new = count[k] + 1
             grown += new
-            keep = next((j for j in range(len(end)) if end[j:] in self.fronts), len(end))
-            end, last, count = end[keep:], (*last[keep:], token), (*(c - new for c in count[keep:]), 0)
-        return (end, last, count), grown
+            last, count = (*last, token), (*(c - new for c in count), 0)
+            keep = 0
+            while keep < len(end) and end[keep:] not in longer:
+                keep += 1
+            if keep:
+                end, last, count = end[keep:], last[keep:], count[keep:]
+        if (state := alike.get((end, last))) is None:
+            state = alike[end, last] = tuple(self._like(end[k:], x) for k, x in enumerate(last))
+        return (end, state, count), grown
+
+    def _like(self, end: bytes, before: int) -> int:
+        """The first token met that is as good as ``before``: that agrees with the same of the tokens that may yet be made of ``end`` and what follows."""
+        if before < 0 or not end or len(tokens := self.longer.get(end, ())) > FEW:
+            return before
+        if not tokens:
+            return NEVER
+        if (like := self.likes.get((end, before))) is None:
+            which = sum(1 << i for i, t in enumerate(tokens) if self.agrees(before, t))
+            like = self.likes[end, before] = self.kinds.setdefault((end, which), before)
+        return like
 
     def _next(self, state: tuple, point: int) -> tuple[tuple, int]:
         """The state after one more character, and the change in tokens."""
@@ -162,28 +227,50 @@ class Transducer:
             todo = todo[found[todo] != keys[todo]]
         return slot, np.concatenate(missing) if missing else todo
 
-    def _insert(self, keys: list[int], to: list[int], change: list[int]) -> None:
-        mask = (1 << self.bits) - 1
-        for key, t, c, slot in zip(keys, to, change, self._slot(np.array(keys, np.int64)).tolist(), strict=True):
-            while self.keys[slot] != -1:
-                slot = (slot + 1) & mask
-            self.keys[slot], self.to[slot], self.change[slot] = key, t, c
+    def _insert(self, keys: np.ndarray, to: np.ndarray, change: np.ndarray) -> None:
+        mask, slot, todo = (1 << self.bits) - 1, self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == -1]
+            self.keys[slot[free]] = keys[free]  # of several, one wins
+            won = self.keys[slot[todo]] == keys[todo]
+            own = todo[won]
+            self.to[slot[own]], self.change[slot[own]] = to[own], change[own]
+            todo = todo[~won]
+            slot[todo] = (slot[todo] + 1) & mask
         self.used += len(keys)
 
+    def _room(self, more: int) -> None:
+        if (self.used + more) * 2 > len(self.keys):
+            have = self.keys >= 0
+            old = self.keys[have], self.to[have], self.change[have]
+            while (self.used + more) * 4 > 1 << self.bits:
+                self.bits += 1
+            self._empty()
+            self.used = 0
+            self._insert(*old)
+
+    def dump(self) -> bytes:
+        """The states and transitions made so far."""
+        have = self.keys >= 0
+        return marshal.dumps((self.states, self.kinds, self.keys[have].tobytes(), self.to[have].tobytes(), self.change[have].tobytes()))
+
+    def load(self, dumped: bytes) -> None:
+        """Take them over, in place of the machine's own."""
+        self.clear()
+        self.states, self.kinds, *arrays = marshal.loads(dumped)
+        self.ids = {s: i for i, s in enumerate(self.states)}
+        keys, to, change = (np.frombuffer(x, k) for x, k in zip(arrays, (np.int64, np.int32, np.int16), strict=True))
+        self._room(len(keys))
+        self._insert(keys, to, change)
+
     def step(self, states: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = states.astype(np.int64) << 21 | points
         slot, missing = self._find(keys)
         if len(missing):
-            new = np.unique(keys[missing]).tolist()
-            if (self.used + len(new)) * 2 > len(self.keys):
-                old = self.keys[self.keys >= 0].tolist(), self.to[self.keys >= 0].tolist(), self.change[self.keys >= 0].tolist()
-                while (self.used + len(new)) * 4 > 1 << self.bits:
-                    self.bits += 1
-                self._empty()
-                self.used = 0
-                self._insert(*old)
-            made = [self._next(self.states[k >> 21], k & 0x1FFFFF) for k in new]
-            self._insert(new, [self._id(s) for s, _ in made], [n for _, n in made])
+            new = np.unique(keys[missing])
+            self._room(len(new))
+            made = [self._next(self.states[k >> 21], k & 0x1FFFFF) for k in new.tolist()]
+            self._insert(new, np.array([self._id(s) for s, _ in made], np.int32), np.array([n for _, n in made], np.int16))
             slot, _ = self._find(keys)
         return self.to[slot], self.change[slot]
 
@@ -201,6 +288,57 @@ class Transducer:
         out[order] = states
         return out
 
+    def _compose(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, constant: np.ndarray, exits: np.ndarray, change: np.ndarray) -> None:
+        """Fill in the exits of the chunks whose map isn't constant. The first chunk's is."""
+        open_ = np.append(~constant, False)
+        which = np.flatnonzero(open_)
+        if not len(which):
+            return
+        contents: dict[bytes, int] = {}
+        content = np.zeros(len(starts), np.int64)
+        content[which] = [contents.setdefault(points[starts[j] : ends[j]].tobytes(), len(contents)) for j in which.tolist()]
+        known, left = np.zeros(0, np.int64), np.zeros(0, np.int32)  # what a content entered in a state is left in
+        nodes, after = np.zeros(0, np.int64), np.zeros(0, np.int32)  # the same of chunks
+        first = which[~open_[which - 1]]
+        begin = first << 32 | exits[first - 1]
+        fresh = np.unique(np.concatenate([begin, which[open_[which - 1]] << 32]))  # guessed: nothing was open
+        rounds = max(1, ROUNDS)
+        while True:
+            while len(fresh) and rounds:
+                rounds -= 1
+                j, entry = fresh >> 32, fresh & 0xFFFFFFFF
+                asked, at = np.unique(content[j] << 32 | entry, return_index=True)
+                new = ~np.isin(asked, known, assume_unique=True)
+                j_new, spare = j[at[new]], np.zeros_like(change)
+                got = self.run(points, starts[j_new], ends[j_new], entry[at[new]], spare)
+                known = np.concatenate([known, asked[new]])
+                order = np.argsort(known)
+                known, left = known[order], np.concatenate([left, got])[order]
+                out = left[np.searchsorted(known, content[j] << 32 | entry)]
+                nodes = np.concatenate([nodes, fresh])
+                order = np.argsort(nodes)
+                nodes, after = nodes[order], np.concatenate([after, out])[order]
+                on = open_[j + 1]
+                fresh = np.unique((j[on] + 1) << 32 | out[on])
+                fresh = fresh[~np.isin(fresh, nodes, assume_unique=True)]
+            # The scan: where each chunk's map leads, then two chunks', four chunks' and so on.
+            n = len(nodes)
+            follows = ((nodes >> 32) + 1) << 32 | after
+            jump = np.minimum(np.searchsorted(nodes, follows), n - 1)
+            goes = open_[(nodes >> 32) + 1]
+            jump = np.append(np.where(goes & (nodes[jump] == follows), jump, n), n)
+            reached = np.zeros(n + 1, bool)
+            reached[np.searchsorted(nodes, begin)] = True
+            for _ in range(len(which).bit_length()):
+                reached[jump[reached]] = True
+                jump = jump[jump]
+            mine = np.flatnonzero(reached[:n])
+            stop = goes[mine] & ~np.isin(follows[mine], nodes)
+            if not stop.any():
+                exits[nodes[mine] >> 32] = after[mine]
+                return
+            fresh, rounds = np.unique(follows[mine][stop]), -1
+
     def counts(self, data: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         """Tokens of each document."""
         if len(self.states) > MOST_STATES:
@@ -228,25 +366,30 @@ class Transducer:
         exits = np.zeros(len(starts), np.int32)
         which = np.flatnonzero(constant)
         exits[which] = self.run(points, front[which], ends[which], np.zeros(len(which), np.int32), change)
-        # The scan: who was the last before each chunk to fix the state, and how far back.
-        last = np.maximum.accumulate(np.where(constant, np.arange(len(starts)), -1))
-        entered = np.zeros(len(starts), np.int32)
-        source = np.concatenate([[-1], last[:-1]])
-        gap = np.arange(len(starts)) - 1 - source
-        for distance in range(int(gap.max()) + 1 if len(gap) else 0):
-            own = np.flatnonzero((gap == distance) & (source >= 0))
-            entered[own] = exits[own - 1]
-            got = self.run(points, starts[own], front[own], entered[own], change)
-            open_ = ~constant[own]
-            exits[own[open_]] = got[open_]
+        self._compose(points, starts, ends, constant, exits, change)
+        entered = np.concatenate([[0], exits[:-1]])
+        self.run(points, starts, front, entered, change)
         running = np.concatenate([[0], np.cumsum(change, dtype=np.int64)])
         shifted = bounds + np.arange(len(offsets))
         return running[shifted[1:]] - running[shifted[:-1]]
 
 
 @functools.lru_cache(maxsize=2)
-def compiled(raw: bytes) -> Transducer:
-    return Transducer(parsed(raw))
+def compiled(raw: bytes, dumped: bytes = b"") -> Transducer:
+    out = Transducer(parsed(raw))
+    if dumped:
+        out.load(dumped)
+    return out
+
+
+def sampled(df: DataFrame, raw: bytes, text_column: str) -> bytes:
+    """States and transitions that a bounded sample of the texts needs: a few MB, whatever the corpus."""
+    machine = compiled(raw)
+    texts = df.select(F.substring(F.col(quoted(text_column)).cast("string"), 1, SAMPLE_CHARACTERS).alias("text")).take(SAMPLE_ROWS)  # reads as many partitions as that takes
+    data, offsets, _ = text_bytes(pa.array([r["text"] for r in texts], pa.string()))
+    for a, b in slices(offsets):
+        machine.counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+    return machine.dump()
 
 
 def count(df: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -258,9 +401,10 @@ def count(df: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id"
     text of any length is read whole.
     """
     shipped = vocabulary_file(df.sparkSession, vocabulary)
+    made = df.sparkSession.sparkContext.broadcast(sampled(df, shipped.value, text_column))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = compiled(shipped.value)
+        machine = compiled(shipped.value, made.value)
         for batch in batches(it):
             data, offsets, null = text_bytes(batch.column(1))
             parts = [np.zeros(0, np.int64)]
