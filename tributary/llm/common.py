@@ -35,30 +35,51 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where it is set.
 
-    Only a session without that setting (tests on one machine) gets a folder of its own.
+    Only a session on one machine without that setting, as in tests, gets a folder of
+    its own; on a cluster its absence is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tributary-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+#: Folders that :func:`cut` has written and nothing has deleted yet, in order.
+_WRITTEN: list[str] = []
+
+
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that lost executors cost no recomputation."""
     path = f"{shared_dir(spark)}/tributary-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of tables made by :func:`cut` that no later step reads."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for df in frames:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/tributary-" in path:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(conf).delete(at, True)
+                _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN[:] = [p for p in _WRITTEN if p.rsplit("/", 1)[1] != path.rsplit("/", 1)[1]]
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The frame that ``make`` gives, written; the tables that were written on the way are deleted."""
+    before = set(_WRITTEN)
+    out = cut(spark, make(), name)
+    for path in [p for p in _WRITTEN if p not in before][:-1]:
+        _delete(spark, path)
+    return out
 
 
 def quoted(name: str) -> str:
@@ -150,7 +171,7 @@ def batches(it: Iterable[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.Recor
     for n, batch in enumerate(it):
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-        if n % 8 == 7:
+        if n % 3 == 2:
             release()
     release()
 

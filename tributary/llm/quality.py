@@ -24,12 +24,12 @@ INSULTS = ("idiot", "moron", "imbecile", "stupid", "scum", "trash", "loser", "pa
 INSULT = rf"(?i)(?:^|[^a-z])(?:{'|'.join(INSULTS)})"
 #: Insults as whole words, in English, German, French and Spanish; the oracle's SQL knows only the beginnings.
 INSULTING = (
-    *INSULTS, "idiotic", "idiocy", "moronic", "stupidity", "scumbag", "asshole", "arsehole", "bitch(?:es)?", "cunt", "dickhead", "shithead", "fuckwit", "wanker", "twat", "douchebag", "jackass(?:es)?", "dumbasses", "motherfucker", "halfwit", "dimwit", "cretin", "lowlife",
-    "idioten", "vollidiot(?:en)?", "trottel", "dummkopf", "schwachkopf", "arschloch", "arschlöcher", "wichser", "hurensohn", "schlampe", "missgeburt", "drecksack",
+    *INSULTS, "idiotic", "idiocy", "moronic", "stupidity", "scumbag", "asshole", "arsehole", "bitch", "bitches", "cunt", "dickhead", "shithead", "fuckwit", "wanker", "twat", "douchebag", "jackass", "jackasses", "dumbasses", "motherfucker", "halfwit", "dimwit", "cretin", "lowlife",
+    "idioten", "vollidiot", "vollidioten", "trottel", "dummkopf", "schwachkopf", "arschloch", "arschlöcher", "wichser", "hurensohn", "schlampe", "missgeburt", "drecksack",
     "connard", "connasse", "salaud", "salope", "abruti", "crétin", "enculé", "débile", "ordure", "imbécile",
-    "idiota", "imbécil(?:es)?", "estúpid[oa]", "gilipollas", "cabrón", "pendej[oa]", "puta", "maricón", "escoria", "payaso",
+    "idiota", "imbécil", "imbéciles", "estúpido", "estúpida", "gilipollas", "cabrón", "pendejo", "pendeja", "puta", "maricón", "escoria", "payaso",
 )
-INSULTING_WORD = rf"(?iu)(?<!\p{{L}})(?:{'|'.join(INSULTING)})s?(?!\p{{L}})"
+INSULTING_WORDS = sorted({w + end for w in INSULTING for end in ("", "s")})
 SYMBOL, BLANKS, CAPITAL = r"[#*$%&|<>{}~^]", r"[ \t\n\r\f]+", r"\p{Lu}"
 
 
@@ -102,7 +102,8 @@ def judged(df: DataFrame, limits: Limits, text_column: str, host_column: str) ->
             F.regexp_count(F.col(text), F.lit(SYMBOL)).alias("n_symbols"),
             F.regexp_count(F.col(text), F.lit("!")).alias("n_shouts"),
             F.regexp_count(F.col(text), F.lit(CAPITAL)).alias("n_capitals"),
-            F.regexp_count(F.col(text), F.lit(INSULTING_WORD)).alias("n_insults"),
+            # Looking words up in a set costs half of what one pattern of so many words does.
+            F.size(F.filter(F.split(F.lower(text), r"\P{L}+"), lambda x: x.isin(INSULTING_WORDS))).alias("n_insults"),
             # One pass that holds no second reference to the words, which would be split again for each.
             F.expr(f"aggregate({w}, named_struct('last', cast(null AS string), 'n', 0), (a, x) -> named_struct('last', x, 'n', a.n + if(x <=> a.last, 1, 0)), a -> a.n)").alias("n_repeated"),
             F.size(lines).alias("n_lines"),
@@ -146,15 +147,22 @@ def keep(df: DataFrame, limits: Limits = LIMITS, text_column: str = "text", host
 
     A null text counts as an empty one, which fails; a null host is a host of its
     own, ''. Repeated rows are judged alike, each counted. Ids aren't used. An
-    empty table gives an empty one. Texts are judged whole.
+    empty table gives an empty one. Texts are judged whole, once: the rows that fail
+    no strict rule are written to the shared folder, and read again when the hosts'
+    verdicts are known.
     """
+    spark = df.sparkSession
     own, host, failures = judged(df, limits, text_column, host_column)
-    verdicts = hosts(own.select(F.col(host).alias("host"), F.col(failures)["strict"].alias("strict")), limits).filter("bad")
     (bad,) = fresh(own, "own_bad")
-    # Written, so that its size is known: only then is it broadcast, if that allows, without moving texts first.
-    verdicts = cut(df.sparkSession, verdicts.select(F.col("host").alias(host), F.col("bad").alias(bad)), "hosts")
-    own = own.join(verdicts, host, "left")
-    return own.filter(_stays(F.col(failures)["strict"], F.col(failures)["lenient"], F.coalesce(bad, F.lit(False)))).select(*(F.col(_quoted(c)) for c in df.columns))
+    strict, lenient = F.col(failures)["strict"], F.col(failures)["lenient"]
+    # Judged once: verdicts, and the rows that may stay, are written; of the others only what their hosts need.
+    columns = [f"c{i}" for i in range(len(df.columns))]
+    row = F.when(strict == 0, F.struct(*(F.col(_quoted(c)).alias(to) for c, to in zip(df.columns, columns, strict=True))))
+    own = cut(spark, own.select(F.col(host).alias("host"), strict.alias("strict"), lenient.alias("lenient"), row.alias("row")), "judged")
+    # Written too, so that its size is known: only then is it broadcast, if that allows, without moving texts first.
+    verdicts = cut(spark, hosts(own, limits).filter("bad").select("host", F.col("bad").alias(bad)), "hosts")
+    own = own.filter("strict = 0").join(verdicts, "host", "left").filter((F.col("lenient") == 0) | ~F.coalesce(bad, F.lit(False)))
+    return own.select(*(F.col(f"row.{c}").alias(to) for c, to in zip(columns, df.columns, strict=True)))
 
 
 def report(df: DataFrame, limits: Limits = LIMITS, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
