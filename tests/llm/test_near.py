@@ -141,3 +141,40 @@ def test_components(spark):
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: want[x] for x in touched}
     assert components(spark.createDataFrame([(1, None), (2, 2)], "a bigint, b bigint")).count() == 0
+
+
+def test_large_buckets_are_compared_block_by_block(spark, make, monkeypatch):
+    """All pairs of two groups, whatever the size of the blocks; by force."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 16, near.SEARCH.hashes).astype(np.uint16)
+    rows = []
+    for i in range(90):
+        own = np.where(rng.random(len(base)) < rng.choice([0.3, 0.5, 0.9]), base, rng.integers(0, 1 << 16, len(base)).astype(np.uint16))
+        rows.append((i % 3, i, i // 4, own.tobytes()))
+    rows += [(7, 500, 1, base.tobytes()), (8, 501, 1, base.tobytes()), (8, 502, 2, base.tobytes())]
+    signed = {r[1]: np.frombuffer(r[3], np.uint16) for r in rows}
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and near.survivors(signed[a[1]][None], signed[b[1]][None])[0]}
+    assert len(want) > 20
+    df = spark.createDataFrame(rows, "key bigint, id bigint, root bigint, signature binary")
+    for size in (1000, 7, 1):
+        monkeypatch.setattr(near, "BLOCK", size)
+        got = [(r.a, r.b) for r in near._across(df, near.SEARCH).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_texts_that_share_an_id_stay(make):
+    """Without ``one_an_id`` only copies go, whatever their ids."""
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(words(rng, 60)) for _ in range(5))
+    rows = [(1, a), (1, b), (1, b), (None, c), (None, c), (None, d), (2, d), (3, None), (3, None), (None, None), (4, ""), (4, " "), (5, a + " and a little more"), (6, e)]
+    far = (2**63 - 1, a)
+    for extra in ([], [far], [far, (-(2**63), "some other text altogether, that is nobody's copy")]):
+        kept = near.keep(make(*rows, *extra), one_an_id=False)
+        got = Counter((r.doc_id if r.doc_id not in (1, None) else "shared", r.text) for r in kept.collect())
+        texts = Counter(t for (_, t), n in got.items() for _ in range(n))
+        assert texts[b] == 1 and texts[c] == 1 and texts[None] == 3 and texts[d] == 1 and texts[e] == 1 and texts[""] == texts[" "] == 1
+        assert texts[a] + texts[a + " and a little more"] == 1 and (extra or got[2, d] == 1)
+        assert sum(texts.values()) == 10 + (len(extra) > 1)
+    assert near.keep(make(*rows).limit(0), one_an_id=False).count() == 0
+    fine = [(i, t) for i, t in enumerate((a, b, c))]
+    assert near.keep(make(*fine), one_an_id=False).count() == 3

@@ -10,7 +10,9 @@ sets. Verified pairs join nodes to groups, whose least id stays.
 
 Only pairs that can still change the groups are looked at: first each bucket's
 members against its least member; then, where a bucket still holds several
-groups, every pair across them. No bucket is capped.
+groups, every pair across them. No bucket is capped: a large one is cut into blocks,
+and every two blocks meet in a task of their own, where signatures are compared as
+arrays and only the pairs that survive leave.
 """
 
 from __future__ import annotations
@@ -55,6 +57,8 @@ class Search:
 SEARCH = Search()
 #: Bits of the filter that keeps uninvolved texts from being moved; more ids only make it less sharp.
 FILTER_BITS = 1 << 25
+#: Members of a bucket that one task holds against as many others.
+BLOCK = 1024
 
 
 @functools.lru_cache(maxsize=4)
@@ -149,6 +153,58 @@ def _compare(pairs: DataFrame, signed: DataFrame, search: Search) -> DataFrame:
     return own.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
+def _across(members: DataFrame, search: Search) -> DataFrame:
+    """The pairs (a, b) of one bucket but of two groups that sequential comparison doesn't drop.
+
+    ``members`` has key, id, root and signature. Each is sent to the cells of all
+    pairs of blocks that hold its own.
+    """
+
+    def meet(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, roots, block = (np.concatenate([r.column(i).to_numpy() for r in rows]) for i in (3, 4, 6))
+        signed = np.frombuffer(b"".join(x for r in rows for x in r.column(5).to_pylist()), np.uint16).reshape(-1, search.hashes)
+        order = np.argsort(block, kind="stable")
+        ids, roots, block, signed = ids[order], roots[order], block[order], signed[order]
+        half = int(np.searchsorted(block, block[-1])) or len(ids)  # two blocks, or one that meets itself
+        other = np.arange(half if half < len(ids) else 0, len(ids))
+        (first, least), step = least_matches(search)[0], max(1, (1 << 20) // (len(other) * 2))
+        for at in range(0, half, step):
+            own = np.arange(at, min(half, at + step))
+            apart = (roots[own, None] != roots[None, other]) & ((ids[own, None] < ids[None, other]) if len(other) == len(ids) else True)
+            matches = np.zeros(apart.shape, np.int16)
+            for k in range(first):
+                matches += signed[own, k][:, None] == signed[other, k][None, :]
+            i, j = np.nonzero(apart & (matches >= least))
+            left, right = own[i], other[j]
+            for s in range(0, len(left), 1 << 16):
+                a, b = left[s : s + (1 << 16)], right[s : s + (1 << 16)]
+                on = survivors(signed[a], signed[b], search)
+                x, y = ids[a[on]], ids[b[on]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cell = [], None
+        for batch in it:
+            cells = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a < b:
+                    if held and tuple(cells[a]) != cell:
+                        yield from meet(held)
+                        held = []
+                    cell = tuple(cells[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from meet(held)
+
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    own = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    own = own.withColumn("meets", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    own = own.select("key", F.least("block", "meets").alias("low"), F.greatest("block", "meets").alias("high"), "id", "root", "signature", "block")
+    own = own.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return own.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _involved(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The documents whose id may be in a pair: all that are, and few others."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
@@ -226,9 +282,7 @@ def _groups(docs: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
     placed = members.join(roots, "id", "left").select("key", "least", "id", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     rest = placed.join(mixed, "key").filter("id <> least").select("key", "id", "root")
-    across = rest.select("key", F.col("id").alias("a"), F.col("root").alias("root_a")).join(rest.select("key", F.col("id").alias("b"), F.col("root").alias("root_b")), "key")
-    across = across.filter("a < b and root_a <> root_b").select("a", "b").distinct()
-    more = cut(spark, _compare(across, nodes, search), "pairs")
+    more = cut(spark, _across(rest.join(nodes.select(F.col("doc_id").alias("id"), "signature"), "id"), search), "pairs")
     if not more.isEmpty():
         found = cut(spark, _verify(more, docs, search), "verified")
         if not found.isEmpty():
@@ -256,25 +310,63 @@ def pairs(df: DataFrame, search: Search = SEARCH, id_column: str = "doc_id", tex
     return out.filter("doc_id <> duplicate_of").groupBy("doc_id", "duplicate_of").agg(F.max(F.col("node") == F.col("duplicate_of")).alias("exact"))
 
 
-def keep(df: DataFrame, search: Search = SEARCH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep(df: DataFrame, search: Search = SEARCH, id_column: str = "doc_id", text_column: str = "text", one_an_id: bool = True) -> DataFrame:
     """The rows of ``df`` that stay, with its columns: one document of each group, by least id.
 
-    Rows without id or text stay. Of rows that share an id, one stays: that with
-    the least MD5 of its text.
+    Rows without text stay, as do, with ``one_an_id``, those without id; of rows that
+    share an id, one stays then: that with the least MD5 of its text. Without it, rows
+    that share an id or have none are documents of their own, told apart by their
+    texts: only copies and near copies go. They are numbered after all ids, so that a
+    document with an id of its own stays before them, or before all ids where there is
+    no room after. An empty table gives an empty one.
     """
     spark = df.sparkSession
-    (own,) = fresh(df, "own_id")
-    gone = cut(spark, pairs(df, search, id_column, text_column).select(F.col("doc_id").alias(own)).distinct(), "duplicates")
-    out = df.withColumn(own, F.col(_quoted(id_column)).cast("bigint")).join(gone, own, "left_anti")
-    again = cut(spark, df.select(F.col(_quoted(id_column)).cast("bigint").alias(own)).filter(F.col(own).isNotNull()).groupBy(own).count().filter("count > 1").select(own), "repeated")
+    own, place = fresh(df, "own_id", "own_place")
+    keyed, unique = (df.withColumn(own, F.col(_quoted(id_column)).cast("bigint")), False) if one_an_id else _apart(df, own, id_column, text_column)
+    gone = cut(spark, pairs(keyed, search, own, text_column).select(F.col("doc_id").alias(own)).distinct(), "duplicates")
+    out = keyed.join(gone, own, "left_anti")
+    if unique:
+        return out.select(*(F.col(_quoted(c)) for c in df.columns))
+    again = cut(spark, keyed.select(own).filter(F.col(own).isNotNull()).groupBy(own).count().filter("count > 1").select(own), "repeated")
     if not again.isEmpty():
-        (place,) = fresh(out, "own_place")
         order = Window.partitionBy(own).orderBy(F.md5(F.col(_quoted(text_column)).cast("string").cast("binary")).asc_nulls_last())
         one = out.join(again, own, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
         out = out.join(again, own, "left_anti").unionByName(one)
     return out.select(*(F.col(_quoted(c)) for c in df.columns))
 
 
+def _apart(df: DataFrame, own: str, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
+    """``df`` with a number of its own, in column ``own``, for each pair of id and text (null without a text); whether no two rows share one.
+
+    It is the id, unless rows share that or it is null: their pairs of id and MD5 of the
+    text are numbered beyond all ids.
+    """
+    spark = df.sparkSession
+    shared, digest = fresh(df, "own_shared", "own_digest")
+    number, text = F.col(_quoted(id_column)).cast("bigint"), F.col(_quoted(text_column)).cast("string")
+    df = df.withColumn(own, number)
+    ids = df.filter(text.isNotNull()).groupBy(own).count()
+    repeated = cut(spark, ids.filter(F.col(own).isNull() | (F.col("count") > 1)).select(F.col(own).alias(shared)), "shared")
+    if repeated.isEmpty():
+        return df.withColumn(own, F.when(text.isNotNull(), F.col(own))), True
+    low, high = ids.agg(F.min(own), F.max(own)).first()
+    some = df.filter(text.isNotNull()).join(repeated, F.col(own).eqNullSafe(F.col(shared)), "left_semi").withColumn(digest, F.md5(text.cast("binary")))
+    names = some.select(F.col(own).alias(shared), F.col(digest)).distinct()
+    room = 1 << 62
+    if (high or 0) < room:
+        numbered = F.monotonically_increasing_id() + F.lit((high or 0) + 1)
+    elif low > -room:
+        numbered = F.lit(low - 1) - F.monotonically_increasing_id()
+    else:  # ids at both ends leave no room: a hash, whose chance of meeting another is 2^-64 a pair
+        numbered = F.xxhash64(shared, digest)
+    names = cut(spark, names.withColumn("number", numbered), "numbers").withColumnRenamed("number", "own_number")
+    (to,) = fresh(some, "own_number")
+    names = names.withColumnRenamed("own_number", to).withColumnRenamed(digest, digest + "_")
+    some = some.join(names, F.col(own).eqNullSafe(F.col(shared)) & (F.col(digest) == F.col(digest + "_")))
+    rest = df.join(repeated, F.col(own).eqNullSafe(F.col(shared)) & text.isNotNull(), "left_anti").withColumn(own, F.when(text.isNotNull(), F.col(own)))
+    return rest.unionByName(some.withColumn(own, F.col(to)).select(*(F.col(_quoted(c)) for c in df.columns))), False
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents."""
     return pairs(load(spark, sf_dir, "documents"))
