@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.errors import FederationError
+from tributary.functions.predicates import translate
 
 
 def _filtered(df: DataFrame, where: str | Column | None) -> DataFrame:
     if where is None:
         return df
-    return df.filter(F.expr(where) if isinstance(where, str) else where)
+    return df.filter(F.expr(translate(where)) if isinstance(where, str) else where)
 
 
 def _column(df: DataFrame, column: str | None) -> tuple[Column, bool]:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.errors import FederationError
-from tributary.functions.predicates import bind
-from tributary.operators.federate import HIDDEN, RANK, SOURCE, SOURCE_ID, federate, in_source_order
+from tributary.functions.predicates import bind, translate
+from tributary.operators.federate import RANK, SOURCE, SOURCE_ID, federate, in_source_order
 from tributary.sources.readers import ROW_NUMBER
 from tributary.sources.registry import Registry
 
@@ -61,7 +61,7 @@ class Scanner:
         df = self._fed.df
         if self._where is not None:
             values = [self._binds.get(i) for i in range(1, max(self._binds, default=0) + 1)]
-            df = df.filter(F.expr(bind(self._where, values)))
+            df = df.filter(F.expr(translate(bind(self._where, values))))
         return df
 
     def next(self) -> bool:
@@ -70,10 +70,16 @@ class Scanner:
             if self._used:
                 return False
             self._used = True
-            self._rows = in_source_order(self.to_df()).toLocalIterator(prefetchPartitions=True)
+            self._rows = self._by_source()
         self._row = next(self._rows, None)
         return self._row is not None
 
+    def _by_source(self) -> Iterator[Row]:
+        """One source after another, each sorted by itself: the first rows come without the others being read."""
+        df = self.to_df()
+        for rank in range(len(self._fed.sources)):
+            yield from in_source_order(df.filter(F.col(RANK) == rank)).toLocalIterator(prefetchPartitions=True)
+
     def value(self, place: int):
         return None if self._row is None or not 0 <= place < len(self.columns) else self._row[place]
 
@@ -122,10 +128,12 @@ class Scanner:
                 return got
         return 0
 
-    def parallel(self, call: Callable[[dict], int | None]) -> int:
-        """Call for every row in the tasks, each source in one; a result other than 0 or None ends that source's task.
+    def parallel(self, call: Callable[[dict], int | None], batches: bool = False) -> int:
+        """Call for every row in the tasks, wherever they are read; a result other than 0 or None ends that task.
 
-        Returns how many rows were handed over. The scanner is at its end afterwards.
+        With ``batches``, the call gets an Arrow batch at a time. Tasks read parts of
+        sources, and nothing is moved. Returns how many rows were handed over. The
+        scanner is at its end afterwards.
         """
         self._before_start()
         self._used = True
@@ -136,21 +144,15 @@ class Scanner:
 
             done, stopped = 0, False
             for batch in it:
-                for row in [] if stopped else batch.to_pylist():
-                    done += 1
-                    if call(row):
+                for part in [] if stopped else [batch] if batches else batch.to_pylist():
+                    done += part.num_rows if batches else 1
+                    if call(part):
                         stopped = True
                         break
             yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["done"])
 
-        own = self.to_df()
-        n = max(1, own.select(RANK).distinct().count())
-        own = own.repartitionByRange(n, RANK).select(*(f"`{c}`" for c in names))
+        own = self.to_df().select(*(f"`{c.replace('`', '``')}`" for c in names))
         return own.mapInArrow(run, "done bigint").agg(F.coalesce(F.sum("done"), F.lit(0))).first()[0]
 
     def close(self) -> None:
         self._rows, self._row, self._used = None, None, True
-
-
-def visible_row(row: Row) -> tuple:
-    return tuple(v for n, v in zip(row.__fields__, row, strict=True) if n not in HIDDEN)

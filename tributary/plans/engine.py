@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import threading
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -11,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.errors import FederationError
-from tributary.functions.predicates import bind
+from tributary.functions.predicates import bind, translate
 from tributary.operators import aggregates
 from tributary.operators.federate import ERRORS, RANK, ROWID, SOURCE, Federation, discover, federate, in_source_order, ordered, select_visible, unpack_rowid
 from tributary.operators.scanner import Scanner
 from tributary.plans.cache import MAX_BYTES, MAX_ROWS, ResultCache
 from tributary.plans.materialize import REFRESH_SECONDS, RefreshedCopy, Snapshot
 from tributary.sources.files import join
-from tributary.sources.readers import ROW_NUMBER, fingerprint
+from tributary.sources.readers import OPENERS, ROW_NUMBER, fingerprint
 from tributary.sources.registry import Registry
 from tributary.sources.schema import parse_override
 
@@ -61,6 +62,8 @@ class FederationEngine:
     def _folder(self, name: str, kind: str) -> str:
         if self._warehouse is None:
             shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
+            if not shared and not self.spark.sparkContext.master.startswith("local"):
+                raise ValueError("name a warehouse, or set spark.checkpoint.dir: a folder that all executors share")
             self._warehouse = shared or tempfile.mkdtemp(prefix="tributary-")
         return join(self._warehouse, f"{kind}-{name}")
 
@@ -152,7 +155,9 @@ class FederationEngine:
     def _federation(self, own: Table) -> Federation:
         """The plan over the sources as they are; built again only if the list or a file has changed."""
         sources = own.registry.sources(own.table)
-        marks = {s.path: fingerprint(self.spark, s, own.table) for s in sources}
+        places = {s.path: s for s in sources}
+        with ThreadPoolExecutor(max(1, min(OPENERS, len(places)))) as pool:
+            marks = dict(zip(places, pool.map(lambda s: fingerprint(self.spark, s, own.table), places.values()), strict=True))
         now = sources, tuple(marks.items())
         if own.built is None or own.built[0] != now:
             own.built = now, federate(self.spark, sources, own.table, own.key, own.given, own.schema)
@@ -171,7 +176,8 @@ class FederationEngine:
         return select_visible(self.table(name))
 
     def sql(self, text: str, args: list | dict | None = None) -> DataFrame:
-        """Any Spark SQL; every federated table is a view by its name, up to date with the registry."""
+        """Any Spark SQL, in which ``LIKE`` and ``GLOB`` have SQLite's meaning; every federated table is a view by its name, up to date with the registry."""
+        text = translate(text)
         with self._lock:
             for name in self._tables:
                 self.table(name).createOrReplaceTempView(name)
@@ -196,7 +202,7 @@ class FederationEngine:
 
     def _plan(self, df: DataFrame, where, order_by, limit, offset) -> DataFrame:
         if where is not None:
-            df = df.filter(F.expr(where) if isinstance(where, str) else where)
+            df = df.filter(F.expr(translate(where)) if isinstance(where, str) else where)
         if order_by:
             by = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
             df = ordered(df, *[b[1:] if isinstance(b, str) and b.startswith("-") else b for b in by], ascending=[not (isinstance(b, str) and b.startswith("-")) for b in by])

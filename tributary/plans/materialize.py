@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from tributary.sources.readers import fingerprint
 from tributary.sources.registry import Source
 
 REFRESH_SECONDS = 300.0
+#: Sources that are copied at a time.
+COPIERS = 8
 
 
 class Snapshot:
@@ -81,28 +84,26 @@ class RefreshedCopy:
         """What was done with each source: copied, kept, stale (its files are gone) or dropped."""
         now, done = self._read(), {}
         held, files = now["sources"], {}
-        for s in sources:
+
+        def bring(s: Source) -> tuple[str, dict | None, str | None]:
+            """What was done, the source's entry, and the schema of a copy that was made."""
             print_ = fingerprint(self.spark, s, table)
             mark = None if print_ is None else [*print_, s.path, s.predicate, s.id]
-            if mark is None:
-                done[s.alias] = "stale" if s.alias in held else "missing"
-                if s.alias in held:
-                    files[s.alias] = held[s.alias]
-            elif s.alias in held and held[s.alias]["mark"] == mark:
-                done[s.alias] = "kept"
-                files[s.alias] = held[s.alias]
-            else:
-                fed = federate((s,))
-                if fed.failed:
-                    done[s.alias] = "stale" if s.alias in held else "missing"
-                    if s.alias in held:
-                        files[s.alias] = held[s.alias]
-                    continue
+            old = held.get(s.alias)
+            if mark is not None and old and old["mark"] == mark:
+                return "kept", old, None
+            if mark is not None and not (fed := federate((s,))).failed:
                 folder = f"{quote(s.alias, safe='')}-{uuid.uuid4().hex}"
                 fed.df.drop(ERRORS).write.parquet(join(self.path, folder))
-                files[s.alias] = {"folder": folder, "mark": mark}
-                now["schema"] = fed.df.drop(ERRORS).schema.json()
-                done[s.alias] = "copied"
+                return "copied", {"folder": folder, "mark": mark}, fed.df.drop(ERRORS).schema.json()
+            return ("stale", old, None) if old else ("missing", None, None)
+
+        with ThreadPoolExecutor(max(1, min(COPIERS, len(sources)))) as pool:
+            for s, (what, entry, schema) in zip(sources, pool.map(bring, sources), strict=True):
+                done[s.alias] = what
+                if entry:
+                    files[s.alias] = entry
+                now["schema"] = schema or now["schema"]
         done |= dict.fromkeys(held.keys() - {s.alias for s in sources}, "dropped")
         self.files.write(self._listing, json.dumps({"refreshed": self._clock(), "schema": now["schema"], "sources": files}))
         for alias, entry in held.items():

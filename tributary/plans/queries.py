@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
-import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,16 +13,39 @@ from pyspark.sql import functions as F
 from tributary.functions.predicates import glob, regexp, sql_like
 from tributary.operators.federate import ERRORS, RANK, ROWID, SOURCE, pack_rowid
 from tributary.plans.engine import FederationEngine
+from tributary.sources.files import Files
 from tributary.sources.registry import Registry
 
 PARTS = 4
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _slices(spark: SparkSession, sf_dir: str, table: str, by: str, parts: int) -> str:
+    """A folder in the shared one with the slices of a test table, written once a process."""
+    shared = FederationEngine(spark)._folder("", "slices") if (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()) else _local()
+    asked = (shared, sf_dir, table, by, parts)
+    if asked not in _WRITTEN or not Files(spark).exists(_WRITTEN[asked]):
+        path = f"{shared}/tributary-{table}-{parts}-{os.urandom(8).hex()}"
+        slices = spark.read.parquet(f"{sf_dir}/{table}.parquet").withColumn("slice", F.expr(f"pmod({by}, {parts})"))
+        slices.repartition(min(parts, 64), "slice").write.partitionBy("slice").parquet(path)
+        _WRITTEN[asked] = path
+    return _WRITTEN[asked]
+
+
+@functools.lru_cache(maxsize=1)
+def _local() -> str:
+    """Where nothing names a shared folder, as in tests."""
+    return tempfile.mkdtemp(prefix="tributary-")
+
+
 def sliced(spark: SparkSession, sf_dir: str, table: str = "orders", key: str | None = "o_orderkey", by: str | None = None, parts: int = PARTS, **options) -> FederationEngine:
-    """An engine with one federated table: slices of a test table, one a source."""
+    """An engine with one federated table: slices of a test table, one a source with files of its own."""
+    root = _slices(spark, sf_dir, table, by or key, parts)
     registry = Registry()
     for k in range(parts):
-        registry.add_source(f"{sf_dir}/{table}.parquet", f"src_{k}", priority=k, format="parquet", predicate=f"{by or key} % {parts} = {k}")
+        registry.add_source(f"{root}/slice={k}", f"src_{k}", priority=k, format="parquet")
     registry.reload()
     engine = FederationEngine(spark, registry)
     engine.create_federated_table("fed", table=table, key=key, **options)
@@ -116,9 +140,10 @@ def fed_named_sources(spark, sf_dir):
 @query("SELECT 's_' || printf('%02d', l_suppkey % 32) AS _source_db, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_discount > 0.05 GROUP BY 1")
 def fed_fan_out(spark, sf_dir):
     """Thirty-two sources."""
+    root = _slices(spark, sf_dir, "lineitem", "l_suppkey", 32)
     registry = Registry()
     for k in range(32):
-        registry.add_source(f"{sf_dir}/lineitem.parquet", f"s_{k:02d}", priority=k, format="parquet", predicate=f"l_suppkey % 32 = {k}")
+        registry.add_source(f"{root}/slice={k}", f"s_{k:02d}", priority=k, format="parquet")
     registry.reload()
     df = FederationEngine(spark, registry).create_federated_table("fed", table="lineitem", key="l_orderkey")
     return df.filter("l_discount > 0.05").groupBy(SOURCE).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
@@ -454,10 +479,7 @@ def sqlite_sources(spark, sf_dir):
         db.close()
         registry.add_source(path, f"db_{k}", priority=k)
     registry.reload()
-    df = FederationEngine(spark, registry).create_federated_table("fed", table="orders").select("o_orderkey", "o_totalprice", "o_orderstatus", SOURCE)
-    out = spark.createDataFrame(df.toArrow(), df.schema)
-    shutil.rmtree(folder, ignore_errors=True)
-    return out
+    return FederationEngine(spark, registry).create_federated_table("fed", table="orders").select("o_orderkey", "o_totalprice", "o_orderstatus", SOURCE)
 
 
 @query(f"SELECT {_LIST} FROM {FED} WHERE o_totalprice BETWEEN 50000 AND 60000")
@@ -465,3 +487,101 @@ def scanner_filter(spark, sf_dir):
     """A bulk scan with bound values."""
     scan = sliced(spark, sf_dir).scan("fed").filter("o_totalprice >= ? AND o_totalprice <= ?").bind(1, 50000.0).bind(2, 60000.0)
     return scan.to_df().select(*_COLUMNS)
+
+
+# -- LIKE and GLOB in text --
+
+
+@query(f"SELECT {_LIST} FROM {FED} WHERE o_orderpriority ILIKE '%urgent' AND o_orderstatus NOT ILIKE 'f'")
+def text_like_ci(spark, sf_dir):
+    return sliced(spark, sf_dir).query("fed", "o_orderpriority LIKE '%urgent' AND o_orderstatus NOT LIKE ?", args=["f"]).select(*_COLUMNS)
+
+
+@query(f"SELECT {_LIST} FROM {FED} WHERE o_orderpriority GLOB '[1-3]-[HM]*' AND o_orderpriority NOT GLOB '*l*'")
+def text_glob(spark, sf_dir):
+    return sliced(spark, sf_dir).query("fed", "o_orderpriority GLOB '[1-3]-[HM]*' AND o_orderpriority NOT GLOB '*l*'").select(*_COLUMNS)
+
+
+@query(f"SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM {FED} WHERE o_orderpriority ILIKE '_-%i%' GROUP BY o_orderpriority")
+def text_like_sql(spark, sf_dir):
+    return sliced(spark, sf_dir).sql("SELECT o_orderpriority, count(*) AS n FROM fed WHERE o_orderpriority LIKE '_-%i%' GROUP BY o_orderpriority")
+
+
+_aggregate("agg_where_glob", "count", None, "o_orderpriority GLOB '?-H*'", "SELECT CAST(count(*) AS BIGINT) AS value FROM orders WHERE o_orderpriority GLOB '?-H*'")
+
+
+@query(f"SELECT {_LIST} FROM {FED} WHERE o_orderpriority ILIKE '5-l%'")
+def scanner_like(spark, sf_dir):
+    return sliced(spark, sf_dir).scan("fed").filter("o_orderpriority LIKE ?").bind(1, "5-l%").to_df().select(*_COLUMNS)
+
+
+# -- what had no entry of its own --
+
+
+@query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey <= 200) RIGHT JOIN (SELECT * FROM {FED} WHERE _source_db = 'src_2' AND o_orderkey < 2000) ON o_custkey = c_custkey")
+def join_right(spark, sf_dir):
+    customer, fed = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey <= 200"), _fed(spark, sf_dir).filter((F.col(SOURCE) == "src_2") & (F.col("o_orderkey") < 2000))
+    return customer.join(fed, F.col("o_custkey") == F.col("c_custkey"), "right").select("c_custkey", "o_orderkey")
+
+
+_WHOLE = "OVER (PARTITION BY _source_db ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+@query(f"SELECT o_orderkey, _source_db, lead(o_orderkey, 2) OVER (PARTITION BY _source_db ORDER BY o_orderkey) AS after, first_value(o_orderkey) {_WHOLE} AS first, last_value(o_orderkey) {_WHOLE} AS last FROM {FED}")
+def window_lead_first_last(spark, sf_dir):
+    own = Window.partitionBy(SOURCE).orderBy("o_orderkey")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return _fed(spark, sf_dir).select("o_orderkey", SOURCE, F.lead("o_orderkey", 2).over(own).alias("after"), F.first_value("o_orderkey").over(whole).alias("first"), F.last_value("o_orderkey").over(whole).alias("last"))
+
+
+@query(_two("INTERSECT ALL"))
+def set_intersect_all(spark, sf_dir):
+    return _keys(spark, sf_dir, "src_0").intersectAll(_keys(spark, sf_dir, "src_1"))
+
+
+@query(f"SELECT {_LIST}, _rowid FROM {FED} WHERE o_custkey < 100")
+def snapshot_reopened(spark, sf_dir):
+    """A snapshot that another engine made."""
+    name = "fed_" + os.urandom(6).hex()
+    made = sliced(spark, sf_dir)
+    root = made._folder("", "reopened")
+    first = FederationEngine(spark, made.registry, root)
+    first.create_federated_table(name, table="orders", key="o_orderkey", mode="snapshot")
+    return FederationEngine(spark, made.registry, root).open_snapshot(name, table="orders", key="o_orderkey").filter("o_custkey < 100").select(*_COLUMNS, ROWID)
+
+
+@query("SELECT false AS there, 'live' AS mode, CAST(4 AS BIGINT) AS sources, CAST(0 AS BIGINT) AS l2_active")
+def dropped_and_status(spark, sf_dir):
+    """Whether a snapshot's files are there once its table is dropped; and what the status of another says."""
+    engine = sliced(spark, sf_dir)
+    engine.create_federated_table("snap", table="orders", key="o_orderkey", mode="snapshot")
+    snapshot = engine._get("snap").snapshot
+    engine.drop_table("snap")
+    status = engine.status("fed")
+    return spark.createDataFrame([(snapshot.exists, status["mode"], status["registry"]["sources"], status["l2_active"])], "there boolean, mode string, sources bigint, l2_active bigint")
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS seen, CAST(sum(o_orderkey) AS BIGINT) AS keys, max(_source_db) AS last FROM {FED} WHERE o_orderkey < 1000")
+def scanner_each(spark, sf_dir):
+    """A callback for every row, on the driver."""
+    seen = []
+    scan = sliced(spark, sf_dir).scan("fed").filter("o_orderkey < 1000")
+    scan.each(lambda s: seen.append((s.int64(0), s.source_alias)))
+    return spark.createDataFrame([(len(seen), sum(k for k, _ in seen), seen[-1][1])], "seen bigint, keys bigint, last string")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS handed FROM orders WHERE o_orderkey % 3 = 1")
+def scanner_parallel(spark, sf_dir):
+    """A callback for every row, in the tasks."""
+    return spark.createDataFrame([(sliced(spark, sf_dir).scan("fed").filter("o_orderkey % 3 = 1").parallel(lambda row: None),)], "handed bigint")
+
+
+@query("SELECT CAST(3 AS BIGINT) AS kept, CAST(1 AS BIGINT) AS entries, CAST(1 AS BIGINT) AS hits, CAST(1 AS BIGINT) AS misses, CAST(0 AS BIGINT) AS flushed")
+def l1_status(spark, sf_dir):
+    """What the first cache tier says of two equal queries, and after a flush."""
+    engine = sliced(spark, sf_dir)
+    for _ in range(2):
+        kept = engine.query("fed", order_by="o_orderkey", limit=3).count()
+    status = engine.status("fed")["l1"]
+    engine.flush_cache("fed")
+    return spark.createDataFrame([(kept, status["entries"], status["hits"], status["misses"], engine.status("fed")["l1"]["entries"])], "kept bigint, entries bigint, hits bigint, misses bigint, flushed bigint")

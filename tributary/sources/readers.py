@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sqlite3
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,8 +119,11 @@ def fingerprint(spark: SparkSession, source: Source, table: str) -> tuple[int, i
     return Files(spark).mark(locate(source, table))
 
 
-def open_sources(spark: SparkSession, sources: tuple[Source, ...], table: str, schema: T.StructType | None = None, row_numbers: bool = False) -> list[DataFrame | FederationError]:
-    """Every source's rows, or why it can't be read. Each place is opened once, several at a time."""
+def open_sources(spark: SparkSession, sources: tuple[Source, ...], table: str, schema: T.StructType | None = None, row_numbers: bool = False, whole: bool = False) -> list[DataFrame | FederationError]:
+    """Every source's rows, or why it can't be read. Each place is opened once, several at a time.
+
+    ``whole`` leaves the sources' predicates to the caller, who gets one frame a place.
+    """
     places = {(locate(s, table), s.format): s for s in reversed(sources)}
 
     def opened(item):
@@ -133,7 +138,7 @@ def open_sources(spark: SparkSession, sources: tuple[Source, ...], table: str, s
     for s in sources:
         base = bases[locate(s, table), s.format]
         try:
-            out.append(base.filter(F.expr(s.predicate)) if s.predicate and isinstance(base, DataFrame) else base)
+            out.append(base.filter(F.expr(s.predicate)) if s.predicate and not whole and isinstance(base, DataFrame) else base)
         except Exception as e:
             out.append(FederationError(f"source {s.alias!r}: {str(e).splitlines()[0]}"))
     return out
@@ -165,6 +170,8 @@ def _open(spark: SparkSession, source: Source, table: str, schema: T.StructType
             reader = spark.read.schema(schema) if schema is not None and kind in ("csv", "json") else spark.read
             if kind == "csv":
                 reader = reader.option("header", True) if schema is not None else reader.option("header", True).option("inferSchema", True)
+            if kind == "parquet" and (known := _footer(path)) is not None:
+                reader = reader.schema(known)
             df = reader.format(kind).load(path)
             if row_numbers:
                 if kind != "parquet":
@@ -177,6 +184,28 @@ def _open(spark: SparkSession, source: Source, table: str, schema: T.StructType
         raise FederationError(f"source {source.alias!r} at {path}: {str(e).splitlines()[0]}") from e
 
 
+_PLAIN = {"string": T.StringType(), "int32": T.IntegerType(), "int64": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "bool": T.BooleanType(), "date32[day]": T.DateType(), "int16": T.ShortType(), "int8": T.ByteType()}
+
+
+def _footer(path: str) -> T.StructType | None:
+    """The schema of a local file, or folder of files, from a footer: Spark would run a job for it. None where Spark must say."""
+    path = path.removeprefix("file://")
+    if "://" in path:
+        return None
+    if os.path.isdir(path):
+        names = sorted(n for n in os.listdir(path) if n[0] not in "_.")
+        if not names or any("=" in n for n in names):
+            return None
+        path = os.path.join(path, names[0])
+    if not os.path.isfile(path):
+        return None
+    own = pq.read_schema(path)
+    if own.metadata and (written := own.metadata.get(b"org.apache.spark.sql.parquet.row.metadata")):
+        return T.StructType.fromJson(json.loads(written))
+    kinds = [_PLAIN.get(str(f.type)) for f in own]
+    return None if None in kinds else T.StructType([T.StructField(f.name, k) for f, k in zip(own, kinds, strict=True)])
+
+
 def _row_number(df: DataFrame):
     files = sorted(df.inputFiles())
     row = F.col("_metadata.row_index")
