@@ -380,3 +380,80 @@ def test_parquet_folders_number_their_rows(spark, tmp_path):
     registry.reload()
     df = FederationEngine(spark, registry).create_federated_table("t", table="many")
     assert df.select(ROWID).distinct().count() == 100 and select_visible(df).columns == ["id", "twice"]
+
+
+def test_like_and_glob_in_text(spark, tmp_path):
+    """In conditions given as text they mean what they mean to SQLite; quoted parts, names and comments stay."""
+    import random
+    import sqlite3
+
+    from tributary.functions.predicates import translate
+
+    assert translate("`like` = 'a LIKE b' -- LIKE 'x'\n AND t.like LIKE NULL") == "`like` = 'a LIKE b' -- LIKE 'x'\n AND t.like LIKE NULL"
+    assert translate("like(a, 'b') AND \"x GLOB 'y'\" = a") == "like(a, 'b') AND \"x GLOB 'y'\" = a" and translate("SHOW TABLES LIKE 'f*'") == "SHOW TABLES LIKE 'f*'"
+    assert translate("a LIKE :p").startswith("a ILIKE")
+    with pytest.raises(Exception, match="GLOB"):
+        translate("a GLOB b")
+    texts = ["ALICE", "alice", "Al%ce", "É", "é", "a\\b", "a.b", "", "x\ny", "it's", "50%", "[x]", "a_c", "abc", None]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").createOrReplaceTempView("like_texts")
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE t (s TEXT)")
+    db.executemany("INSERT INTO t VALUES (?)", [(t,) for t in texts])
+    rng = random.Random(4)
+    pieces = ["%", "_", "a", "A", "l", "*", "?", "[a-c]", "[^x]", ".", "%ce", "É", "'", "c", "!%", "x"]
+    conditions = ["s LIKE 'a\\\\b'", "s LIKE '50!%' ESCAPE '!'", "s NOT LIKE '%a%' AND s NOT GLOB '*[xX]*'", "(s || 'z') LIKE '%Z'", "CASE WHEN s LIKE 'a%' THEN 1 ELSE 0 END = 1", "s LIKE 'it''s'"]
+    conditions += [f"s {rng.choice(['', 'NOT '])}{op} '{''.join(rng.choices(pieces, k=3)).replace(chr(39), chr(39) * 2)}'" for op in ("LIKE", "GLOB") for _ in range(40)]
+    for condition in conditions:
+        want = sorted(str(r[0]) for r in db.execute(f"SELECT s FROM t WHERE {condition.replace(chr(92) * 2, chr(92))}"))
+        assert sorted(str(r[0]) for r in spark.sql(f"SELECT s FROM like_texts WHERE {translate(condition)}").collect()) == want, condition
+
+
+def test_sources_lost_after_planning_are_left_out(spark, tmp_path):
+    import os
+    import sqlite3
+
+    registry = Registry()
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.parquet(str(tmp_path / f"{k}.parquet"))
+        registry.add_source(str(tmp_path / f"{k}.parquet"), f"p{k}", priority=k)
+    registry.reload()
+    df = FederationEngine(spark, registry, str(tmp_path)).create_federated_table("lost", table="t", key="id")
+    for f in (tmp_path / "1.parquet").glob("*.parquet"):
+        os.remove(f)
+    for f in (tmp_path / "2.parquet").glob("*.parquet"):
+        f.write_bytes(b"broken" * 20)
+    assert sorted(r.id for r in df.collect()) == list(range(10))
+    for k in range(2):
+        db = sqlite3.connect(tmp_path / f"{k}.db")
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v REAL, s TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, i / 2 if i % 2 else i, "x" if i % 3 else None) for i in range(20)])
+        db.commit(), db.close()
+    files = Registry()
+    for k in range(2):
+        files.add_source(str(tmp_path / f"{k}.db"), f"d{k}", priority=k)
+    files.reload()
+    df = FederationEngine(spark, files, str(tmp_path)).create_federated_table("lost2", table="t")
+    (tmp_path / "1.db").write_bytes(b"no database")
+    assert df.count() == 20 and {r[0] for r in df.select("_source_db").distinct().collect()} == {"d0"}
+
+
+def test_conditions_of_one_query_do_not_stay_for_the_next(spark, tmp_path):
+    engine = items(spark, tmp_path, 2, 20)
+    df = engine.table("things")
+    for _ in range(2):
+        assert df.filter("category = 'cat_1'").count() < df.count() == 40
+
+
+def test_a_limit_reads_only_the_sources_it_needs(spark, tmp_path):
+    registry = Registry()
+    for k in range(5):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.parquet(str(tmp_path / f"{k}.parquet"))
+        registry.add_source(str(tmp_path / f"{k}.parquet"), f"p{k}", priority=k)
+    registry.reload()
+    engine = FederationEngine(spark, registry, str(tmp_path))
+    engine.create_federated_table("few", table="t", key="id")
+    for n, scans in ((5, 1), (10, 1), (11, 2), (35, 4), (500, 5)):
+        df = engine.head("few", n)
+        assert [r.id for r in df.collect()] == list(range(min(n, 50)))
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == scans
+    assert [r.id for r in engine.query("few", limit=4, offset=18).collect()] == [18, 19, 20, 21]

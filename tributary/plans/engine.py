@@ -19,7 +19,7 @@ from tributary.operators.scanner import Scanner
 from tributary.plans.cache import MAX_BYTES, MAX_ROWS, ResultCache
 from tributary.plans.materialize import REFRESH_SECONDS, RefreshedCopy, Snapshot
 from tributary.sources.files import join
-from tributary.sources.readers import OPENERS, ROW_NUMBER, fingerprint
+from tributary.sources.readers import OPENERS, ROW_NUMBER, fingerprint, rows_of
 from tributary.sources.registry import Registry
 from tributary.sources.schema import parse_override
 
@@ -198,7 +198,22 @@ class FederationEngine:
 
     def head(self, name: str, n: int) -> DataFrame:
         """The first rows in source order."""
-        return in_source_order(self.table(name)).limit(n)
+        own = self._get(name)
+        return in_source_order(self._enough(own, self.table(name), n)).limit(n)
+
+    @staticmethod
+    def _enough(own: Table, df: DataFrame, n: int) -> DataFrame:
+        """``df`` without the sources that come after the first ``n`` rows, if the files say how many rows each has."""
+        if own.snapshot or not own.registry:
+            return df
+        for rank, source in enumerate(own.registry.sources(own.table)):
+            rows = rows_of(source, own.table)
+            if rows is None:
+                return df
+            n -= rows
+            if n <= 0:
+                return df.filter(F.col(RANK) <= rank)
+        return df
 
     def _plan(self, df: DataFrame, where, order_by, limit, offset) -> DataFrame:
         if where is not None:
@@ -224,6 +239,8 @@ class FederationEngine:
         live = self.table(name)
         if source is not None:
             live = live.filter(F.col(SOURCE) == source)
+        if limit is not None and where is None and source is None and not order_by:
+            live = self._enough(own, live, limit + offset)
         asked = self._plan(live, where, order_by, limit, offset)
         bounded = where is not None or limit is not None or source is not None or len(own.registry.sources(own.table) if own.registry else ()) <= 1
         terms = [order_by] if isinstance(order_by, str) else list(order_by or ())

@@ -7,6 +7,7 @@ import os
 import sqlite3
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,35 +42,50 @@ class SqliteSource(DataSource):
 
 
 class SqliteReader(DataSourceReader):
-    """Row number ranges of the table are partitions; cells of another type than the column's are cast or null."""
+    """Row number ranges of the table are partitions; cells of another type than the column's are cast or null.
+
+    Conditions stay with Spark: its pushdown to Python sources keeps those of one query
+    for the next over the same relation. A file that is lost or broken by the time it is
+    read gives no (more) rows.
+    """
 
     def __init__(self, options: dict, schema: T.StructType):
         self.path, self.table, self.schema = options["path"], options["table"], schema
-        self.where, self.rows = options.get("where", ""), int(options.get("partitionrows", 1_000_000))
+        self.rows = int(options.get("partitionrows", 1_000_000))
 
     def _open(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
     def partitions(self) -> list[InputPartition]:
-        db = self._open()
         try:
-            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-        finally:
-            db.close()
+            db = self._open()
+            try:
+                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_column(self.table)}").fetchone()
+            finally:
+                db.close()
+        except sqlite3.Error:
+            low = None
         if low is None:
             return [InputPartition((0, -1))]
         return [InputPartition((a, min(a + self.rows - 1, high))) for a in range(low, high + 1, self.rows)]
 
     def read(self, partition: InputPartition):
         low, high = partition.value
-        names = ", ".join("rowid" if f.name == ROW_NUMBER else '"' + f.name.replace('"', '""') + '"' for f in self.schema)
+        names = ", ".join("rowid" if f.name == ROW_NUMBER else _column(f.name) for f in self.schema)
         casts = [_cell(f.dataType) for f in self.schema]
-        db = self._open()
         try:
-            for row in db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?' + (f" AND ({self.where})" if self.where else ""), (low, high)):
-                yield tuple(None if v is None else c(v) for c, v in zip(casts, row, strict=True))
-        finally:
-            db.close()
+            db = self._open()
+            try:
+                for row in db.execute(f"SELECT {names} FROM {_column(self.table)} WHERE rowid BETWEEN ? AND ?", (low, high)):
+                    yield tuple(None if v is None else c(v) for c, v in zip(casts, row, strict=True))
+            finally:
+                db.close()
+        except sqlite3.Error:
+            return
+
+
+def _column(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
 
 
 def _cell(kind: T.DataType):
@@ -167,7 +183,9 @@ def _open(spark: SparkSession, source: Source, table: str, schema: T.StructType
             if schema is not None and schema.names != own.names:
                 df = df.select(*[n for n in schema.names if n in own.names], ROW_NUMBER)
         else:
-            reader = spark.read.schema(schema) if schema is not None and kind in ("csv", "json") else spark.read
+            # A source that is lost, or broken, by the time it is read is left out, as one that can't be opened is.
+            lenient = {"ignoreMissingFiles": "true", "ignoreCorruptFiles": "true"}
+            reader = spark.read.options(**lenient).schema(schema) if schema is not None and kind in ("csv", "json") else spark.read.options(**lenient)
             if kind == "csv":
                 reader = reader.option("header", True) if schema is not None else reader.option("header", True).option("inferSchema", True)
             if kind == "parquet" and (known := _footer(path)) is not None:
@@ -206,11 +224,32 @@ def _footer(path: str) -> T.StructType | None:
     return None if None in kinds else T.StructType([T.StructField(f.name, k) for f, k in zip(own, kinds, strict=True)])
 
 
+def rows_of(source: Source, table: str) -> int | None:
+    """How many rows a local Parquet source has, by its footers; None where they can't say."""
+    path = locate(source, table).removeprefix("file://")
+    if source.predicate or "://" in path or file_format(source, path) != "parquet":
+        return None
+    files = [path]
+    if os.path.isdir(path):
+        names = [n for n in os.listdir(path) if n[0] not in "_."]
+        files = [os.path.join(path, n) for n in names]
+    if not files or not all(os.path.isfile(f) for f in files):
+        return None
+    try:
+        return sum(pq.read_metadata(f).num_rows for f in files)
+    except (OSError, pa.ArrowInvalid):
+        return None
+
+
 def _row_number(df: DataFrame):
     files = sorted(df.inputFiles())
     row = F.col("_metadata.row_index")
     if len(files) <= 1:
         return row
+    if len({f.rsplit("/", 1)[1] for f in files}) < len(files):
+        raise FederationError("two files of one name can't number rows; name a key column")
+    # Rows beyond what a file's share of the number holds are an error, not another file's rows.
+    row = F.when(row < (1 << _ROW_BITS), row).otherwise(F.raise_error(F.lit("a file has too many rows to number them by; name a key column")))
     if len(files) >= 1 << _FILE_BITS:
         raise FederationError(f"{len(files)} files are too many to number rows by; name a key column")
     place = F.lit(None).cast("bigint")
