@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import batches, fresh, lists, load, map_texts, quoted, ragged, release, slices, text_bytes
+from tributary.llm.common import SLICE_BYTES, batches, fresh, lists, load, map_texts, quoted, ragged, release, slices, text_bytes
 from tributary.llm.pretokens import span_hashes, word_starts
 
 #: Ranks of the 50k byte-level vocabulary; see the README beside it.
@@ -271,7 +271,7 @@ def vocabulary_file(spark: SparkSession, path: str) -> Broadcast:
 def _encoded(column: pa.Array, vocabulary: Vocabulary) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     data, offsets, null = text_bytes(column)
     ids, counts, right = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, SLICE_BYTES // 2):  # arrays of words and ranks take many times their text
         own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         got, n = vocabulary.encode(own, at)
         back, sizes = vocabulary.decode(got, n)
