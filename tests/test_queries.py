@@ -1,5 +1,8 @@
 """Every federation query against DuckDB, and the shape of the plans."""
 
+import os
+
+import pyarrow.parquet as pq
 import pytest
 from support import same
 
@@ -49,3 +52,17 @@ def test_entry_and_contract(spark):
 
     assert e.entry(spark).count() == 4
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("step", [1, 4])
+def test_slices_are_written_in_tasks_of_few_rows(spark, tmp_path, monkeypatch, step):
+    """However many rows a slice has, even if it has all of them, or the keys recur at regular places; every row is written once."""
+    monkeypatch.setattr(q, "SLICE_ROWS", 500, raising=False)
+    rows = spark.range(6000).selectExpr(f"if(id % 1000 = 7, NULL, id * {step}) AS o_orderkey", "id % 3 AS o_custkey")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    root = q._slices(spark, str(tmp_path), "orders", "o_orderkey", 4)
+    files = [os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")]
+    assert max(pq.read_metadata(f).num_rows for f in files) <= 650
+    written = spark.read.parquet(root)
+    assert written.filter("slice <> pmod(o_orderkey, 4) OR (slice IS NULL) <> (o_orderkey IS NULL)").count() == 0
+    assert not written.drop("slice").exceptAll(rows).count() and written.count() == 6000

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import os
 import tempfile
 from collections.abc import Callable
@@ -17,6 +18,8 @@ from tributary.sources.files import Files
 from tributary.sources.registry import Registry
 
 PARTS = 4
+#: Rows of a slice that one task writes, some 200 MB in memory.
+SLICE_ROWS = 1_250_000
 
 
 _WRITTEN: dict[tuple, str] = {}
@@ -29,11 +32,24 @@ def _slices(spark: SparkSession, sf_dir: str, table: str, by: str, parts: int) -
     if asked not in _WRITTEN or not Files(spark).exists(_WRITTEN[asked]):
         path = f"{shared}/tributary-{table}-{parts}-{os.urandom(8).hex()}"
         slices = spark.read.parquet(f"{sf_dir}/{table}.parquet").withColumn("slice", F.expr(f"pmod({by}, {parts})"))
-        slices.repartition(min(parts, 64), "slice").write.partitionBy("slice").parquet(path)
+        _dealt(slices, parts).write.partitionBy("slice").parquet(path)
         _WRITTEN[asked] = path
     return _WRITTEN[asked]
 
 
+def _dealt(slices: DataFrame, parts: int) -> DataFrame:
+    """The rows in tasks of one slice and at most about SLICE_ROWS rows each, as many as every slice needs: a task sorts what it writes."""
+    rows = {k: n for k, n in slices.groupBy("slice").count().collect()}
+    tasks, first = 0, F.lit(0)
+    for k in dict.fromkeys([*range(parts), *rows]):  # a row without a key has no slice
+        own = max(1, math.ceil(rows.get(k, 0) / SLICE_ROWS))
+        first = F.when(F.col("slice").eqNullSafe(F.lit(k)), tasks + F.pmod("_task", F.lit(own))).otherwise(first)
+        tasks += own
+    # By a hash of the row's place: keys may recur at regular places, and rows may be equal.
+    placed = slices.withColumn("_task", F.xxhash64(F.monotonically_increasing_id())).withColumn("_task", first.cast("int"))
+    return placed.repartitionById(tasks, F.col("_task")).drop("_task")
+
+
 @functools.lru_cache(maxsize=1)
 def _local() -> str:
     """Where nothing names a shared folder, as in tests."""
