@@ -66,3 +66,12 @@ def test_slices_are_written_in_tasks_of_few_rows(spark, tmp_path, monkeypatch, s
     written = spark.read.parquet(root)
     assert written.filter("slice <> pmod(o_orderkey, 4) OR (slice IS NULL) <> (o_orderkey IS NULL)").count() == 0
     assert not written.drop("slice").exceptAll(rows).count() and written.count() == 6000
+
+
+@pytest.mark.parametrize("name", ["agg_rollup"])
+def test_results_over_slices_of_many_tasks(name, spark, sf, duck, monkeypatch):
+    monkeypatch.setattr(q, "SLICE_ROWS", 100, raising=False)
+    monkeypatch.setattr(q, "_WRITTEN", {})
+    same(q.QUERIES[name](spark, sf).toPandas(), duck.execute(q.ORACLE_SQL[name]).fetchdf())
+    files = [os.path.join(d, f) for root in q._WRITTEN.values() for d, _, names in os.walk(root.removeprefix("file://")) for f in names if f.endswith(".parquet")]
+    assert files and max(pq.read_metadata(f).num_rows for f in files) <= 150
