@@ -68,7 +68,7 @@ def test_slices_are_written_in_tasks_of_few_rows(spark, tmp_path, monkeypatch, s
     assert not written.drop("slice").exceptAll(rows).count() and written.count() == 6000
 
 
-@pytest.mark.parametrize("name", ["agg_rollup", "fed_sql_view"])
+@pytest.mark.parametrize("name", ["agg_rollup", "fed_sql_view", "join_anti"])
 def test_results_over_slices_of_many_tasks(name, spark, sf, duck, monkeypatch):
     monkeypatch.setattr(q, "SLICE_ROWS", 100, raising=False)
     monkeypatch.setattr(q, "_WRITTEN", {})
