@@ -40,13 +40,13 @@ def _slices(spark: SparkSession, sf_dir: str, table: str, by: str, parts: int) -
 def _dealt(slices: DataFrame, parts: int) -> DataFrame:
     """The rows in tasks of one slice and at most about SLICE_ROWS rows each, as many as every slice needs: a task sorts what it writes."""
     rows = {k: n for k, n in slices.groupBy("slice").count().collect()}
-    tasks, first = 0, F.lit(0)
+    tasks, task = 0, F
     for k in dict.fromkeys([*range(parts), *rows]):  # a row without a key has no slice
         own = max(1, math.ceil(rows.get(k, 0) / SLICE_ROWS))
-        first = F.when(F.col("slice").eqNullSafe(F.lit(k)), tasks + F.pmod("_task", F.lit(own))).otherwise(first)
+        task = task.when(F.col("slice").eqNullSafe(F.lit(k)), tasks + F.pmod("_task", F.lit(own)))
         tasks += own
     # By a hash of the row's place: keys may recur at regular places, and rows may be equal.
-    placed = slices.withColumn("_task", F.xxhash64(F.monotonically_increasing_id())).withColumn("_task", first.cast("int"))
+    placed = slices.withColumn("_task", F.xxhash64(F.monotonically_increasing_id())).withColumn("_task", task.cast("int"))
     return placed.repartitionById(tasks, F.col("_task")).drop("_task")
 
 
